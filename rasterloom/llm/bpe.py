@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from . import common, scan
 
 NONE = np.int32(2**31 - 1)
-LONG = 256  # bytes from which a piece is merged by a heap instead of in a matrix
+PAD = np.int32(1 << 30)
+BUCKETS = np.array([1, 5, 9, 13, 17, 25, 33, 49, 65, 97, 129, 257])  # longer pieces are merged by a heap, in n log n
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 L, N, O, S = 0, 1, 2, 3
 
@@ -140,7 +141,7 @@ class Pairs:
 class Bpe:
     """Encoder and decoder for one rank file, with a bounded table of pieces."""
 
-    def __init__(self, path: str, most: int = 1 << 18):
+    def __init__(self, path: str, most: int = 1 << 20):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
         size = max(self.ranks.values()) + 1
         self.byte_id = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
@@ -230,22 +231,27 @@ class Bpe:
 
     def encode_pieces(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts of the pieces' ids, and the ids one piece after another."""
-        found: list = [None] * len(starts)
+        counts, found = np.zeros(len(starts), np.int64), []
         order = np.argsort(lengths, kind="stable")
-        sizes, first = np.unique(lengths[order], return_index=True)
-        for size, rows in zip(sizes, np.split(order, first[1:]), strict=True):
-            if size >= LONG:
-                for r in rows:
-                    found[r] = self.merge_long(data[starts[r] : starts[r] + size].tobytes())
-                continue
-            step = max(1, (1 << 18) // int(size))
-            for i in range(0, len(rows), step):
-                part = rows[i : i + step]
-                ids = self.byte_id[data[starts[part][:, None] + np.arange(size)]]
+        first = np.searchsorted(lengths[order], BUCKETS, "left")
+        for width, lo, hi in zip(BUCKETS[1:].tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+            width, step = width - 1, max(1, (1 << 18) // width)
+            for rows in (order[i : min(i + step, hi)] for i in range(lo, hi, step)):
+                column = np.arange(width)
+                at = np.minimum(starts[rows][:, None] + column, len(data) - 1)
+                ids = np.where(column < lengths[rows][:, None], self.byte_id[data[at]], PAD)
                 for which, merged in self.merge_rows(ids):
-                    for r, x in zip(part[which].tolist(), merged, strict=True):
-                        found[r] = x
-        return np.array([len(x) for x in found], np.int64), np.concatenate(found) if found else np.zeros(0, np.int32)
+                    counts[rows[which]] = (merged != PAD).sum(1)
+                    found.append((rows[which], merged))
+        for r in order[first[-1] :].tolist():
+            merged = self.merge_long(data[starts[r] : starts[r] + lengths[r]].tobytes())
+            counts[r] = len(merged)
+            found.append((np.array([r]), merged[None]))
+        at, flat = np.cumsum(counts) - counts, np.zeros(int(counts.sum()), np.int32)
+        for rows, merged in found:
+            real = merged != PAD
+            flat[(at[rows][:, None] + np.arange(merged.shape[1]))[real]] = merged[real]
+        return counts, flat
 
     def lookup(self, h: np.ndarray, k0: np.ndarray, k1: np.ndarray) -> np.ndarray:
         last, slot = (1 << self.bits) - 1, (h >> np.uint64(64 - self.bits)).astype(np.int64)
