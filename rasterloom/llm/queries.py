@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, urls
+from . import bpe, fingerprint, packing, urls
 from .common import table
 
 
@@ -25,8 +25,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return fingerprint.edited_likeness(docs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_url_filter, op8_packing)}
+    return {f.__name__: f for f in (op1_bpe, op3_url_filter, op8_packing, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
