@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, packing, quality, topk, toxicity, urls
+from . import bpe, fingerprint, langid, neardup, packing, quality, topk, toxicity, urls
 from .common import fold, table
 
 
@@ -48,6 +48,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -64,7 +68,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_url_filter, op4_topk, op5_quality, op8_packing, op9_langid, op10_fingerprint)}
+    return {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_url_filter, op4_topk, op5_quality, op6_neardup, op8_packing, op9_langid, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:
