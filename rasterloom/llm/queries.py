@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, neardup, packing, quality, topk, toxicity, urls
+from . import bpe, fingerprint, langid, neardup, packing, quality, repeats, topk, toxicity, urls
 from .common import fold, table
 
 
@@ -52,6 +52,11 @@ def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = repeats.remove(table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -67,8 +72,14 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_likeness(docs)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_url_filter, op4_topk, op5_quality, op6_neardup, op8_packing, op9_langid, op10_fingerprint)}
+    return {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_url_filter, op4_topk, op5_quality, op6_neardup, op7_repeats, op8_packing, op9_langid, op10_fingerprint, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
