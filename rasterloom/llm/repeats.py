@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from . import bpe, common, scan, suffix
 
 GRAM = 48
-PLACE = 21
-SHARD = 4 << 20  # bytes of contents sorted at a time, more only for a single key
+PLACE = 20  # bits of a place in a part of a text; longer texts come in parts, which share out the windows
+SHARD = 2 << 20  # bytes of contents sorted at a time, more only for a single key
 IN_MEMORY = 32 << 20  # bytes beyond which a shard's queues and text go to the task's disk
 
 
@@ -147,7 +147,7 @@ def remove(df: DataFrame, text: str = "text", id: str = "doc_id", length: int =
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, off in common.chunks(batches, "body"):
+        for batch, data, off in common.chunks(batches, "body", 1 << 20):
             doc, *columns = segments(data, off, length)
             ids = [batch.column(j).take(pa.array(doc)) for j in range(2)]
             yield pa.RecordBatch.from_arrays([*ids, *(pa.array(c) for c in columns)], names=["t", "r", "s", "e", "k", "d", "twice"])

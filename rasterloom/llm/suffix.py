@@ -118,7 +118,9 @@ class _Scan:
 
 
 def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
-    """Capped common-prefix lengths of pairs of suffixes, compared directly: 16 symbols a step."""
+    """Capped common-prefix lengths of pairs of suffixes, compared directly: 16 symbols a step, some thousand pairs at a time."""
+    if len(a) > 1 << 14:
+        return np.concatenate([common_prefix(text, a[i : i + (1 << 14)], b[i : i + (1 << 14)], cap) for i in range(0, len(a), 1 << 14)])
     n, out, rest, i = len(text), np.zeros(len(a), np.int64), np.arange(len(a)), 0
     step = np.arange(16)
     while len(rest) and i < cap:
