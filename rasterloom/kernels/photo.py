@@ -56,9 +56,10 @@ def _means(a, h, template, search):
     for dy in range(-s, s + 1):
         for dx in range(-s, s + 1):
             b = p[s + dy : s + dy + a.shape[0], s + dx : s + dx + a.shape[1]]
-            d = dense.correlate(((a - b) ** 2).mean(2)[None, ..., None], np.ones((1, template)))
-            d = dense.correlate(d, np.ones((template, 1)))[0, ..., 0] / template**2
-            w = np.exp(-d / (h * h))
+            d = np.pad(((a - b) ** 2).mean(2), t, mode="edge").cumsum(0).cumsum(1)
+            d = np.pad(d, ((1, 0), (1, 0)))
+            d = (d[template:, template:] - d[:-template, template:] - d[template:, :-template] + d[:-template, :-template]) / template**2
+            w = np.exp(-np.maximum(d, 0) / (h * h))
             total += b * w[..., None]
             norm += w
     return total / norm[..., None]
