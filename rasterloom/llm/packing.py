@@ -134,9 +134,10 @@ def _climb(local: DataFrame, length: str, sequence: str, offset: str, up: str, c
         below, partitions = partitions, -(-partitions // FAN)
 
         def run(batches: Iterator[pa.RecordBatch], level: int = level, below: int = below) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(list(batches))
-            if not table.num_rows:
+            parts = [b for b in batches if b.num_rows]
+            if not parts:
                 return
+            table = pa.Table.from_batches(parts)
             table = table.sort_by([("load", "descending"), ("bin", "ascending")])
             sizes, ids = table.column("load").to_numpy(), table.column("bin").to_numpy()
             bins, offsets, loads = best_fit(sizes, capacity)
