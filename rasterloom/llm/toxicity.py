@@ -28,6 +28,7 @@ TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), 39, *range(128, 256)]] =
 PREFIXES = (3, 4, 5, 6, 7, 8)
 BITS = 20
 BLOCK = 64
+FEW = 5
 
 
 def token_features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -131,26 +132,31 @@ def document_features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.column_stack([*np.log(top / (1 - top)), np.log1p(scan.reduce_by(np.where(p > 0.5, p, 0), first))])
 
 
-def _cover(pairs: np.ndarray, toxic: int, plain: np.ndarray, others: int, least: int = 3, odds: float = 3.0) -> np.ndarray:
-    """Greedy cover of the toxic texts by features that are rare in the others. pairs: distinct text << BITS | feature."""
+def _cover(pairs: np.ndarray, toxic: int, plain: np.ndarray, others: int, least: int = 3, odds: float = 2.5, sure: float = 25.0) -> np.ndarray:
+    """Features that tell toxic texts: those far too frequent for chance, and a greedy cover of the texts that are left.
+
+    pairs: distinct text << BITS | feature. The gain of a feature, texts times log odds, is half its likelihood ratio.
+    """
     text, feature = pairs >> BITS, pairs & ((1 << BITS) - 1)
     open_, chosen = np.ones(toxic, bool), []
     rest = np.log((plain + 0.5) / (others + 1))
     full = np.bincount(feature, minlength=1 << BITS)
+    odd = np.log((full + 0.5) / (toxic + 1)) - rest
+    chosen = np.flatnonzero((odd >= odds) & (full * odd >= sure)).tolist()
+    open_[text[np.isin(feature, chosen)]] = False
     while True:
         left = open_[text]
         text, feature = text[left], feature[left]
         a = np.bincount(feature, minlength=1 << BITS)
-        odd = np.log((full + 0.5) / (toxic + 1)) - rest
         gain = np.where((a >= least) & (odd >= odds), a * odd, 0)
         best = int(gain.argmax())
-        if not gain[best] or len(chosen) >= 1000:
+        if not gain[best]:
             return np.array(chosen, np.int64)
         chosen.append(best)
         open_[text[feature == best]] = False
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 3000, folds: int = 5, held: int = 0, rounds: int = 6) -> Field | None:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 3000, folds: int = 5, held: int = 0, rounds: int = 6, steps: int = 80) -> Field | None:
     """A field from at most about `most` documents of either label outside the held-out fold."""
     table, y = sample.texts(docs, labels, label, most, folds, held)
     if len(np.unique(y)) < 2:
@@ -170,14 +176,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 30
         rank = np.cumsum(own == 1) - 1 + toxic
         pairs.append(rank[distinct[bad] >> BITS] << BITS | distinct[bad] & ((1 << BITS) - 1))
         toxic += int((own == 1).sum())
-    seed = np.zeros(1 << BITS, bool)
-    chosen = _cover(np.concatenate(pairs), toxic, plain, int((y == 0).sum()))
+    seed, pairs = np.zeros(1 << BITS, bool), np.concatenate(pairs)
+    chosen = _cover(pairs, toxic, plain, int((y == 0).sum()))
+    # Features of few documents would take weight from those that inflected forms share.
+    usual = plain + np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS) >= FEW
     seed[chosen] = True
     field = Field(np.zeros(1 << BITS), -4.0, np.array([[0.9, 0.1], [0.5, 0.5]]), np.array([0.9, 0.1]), np.zeros(4))
     squares, counts, starts_seen = np.full(1 << BITS, 1e-2), np.ones((2, 2)), np.ones(2)
-    for r in range(rounds):
-        for data, off, own in parts:
-            _, _, first, f = token_features(data, off)
+    seen = [(own, *token_features(data, off)[2:]) for data, off, own in parts]
+    # A small sample is one part: it takes more rounds to as many steps.
+    for r in range(max(rounds, -(-steps // max(1, len(seen))))):
+        for own, first, f in seen:
             begins = _begins(first, len(f))
             doc = np.repeat(np.arange(len(own)), np.diff(first))
             truth = (seed[f].any(1) & (own[doc] == 1)).astype(float)
@@ -190,6 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 30
             # Balanced steps: toxic tokens are rare.
             g = np.bincount(f.ravel(), np.repeat(error, f.shape[1]), 1 << BITS) - 1e-3 * field.weights
             g[0] = 0
+            g *= usual
             squares += g * g
             field.weights += 0.5 * g / np.sqrt(squares)
         if r == 0:
