@@ -80,7 +80,7 @@ def batch_background(df: DataFrame, kind: str) -> DataFrame:
 
 def stream_background(df: DataFrame, kind: str = "mog2", lateness: str = "1 minute") -> DataFrame:
     """The same over an unbounded stream: the model is the group's state. Frames of a trigger are put in order; a frame
-    older than the last one that was applied is dropped, and a stream without frames loses its state after an hour."""
+    older than the last one that was applied is dropped, and a stream whose last frame lies an hour behind the watermark loses its state."""
     _ship(df)
 
     def work(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -97,10 +97,10 @@ def stream_background(df: DataFrame, kind: str = "mog2", lateness: str = "1 minu
                 out.append((int(key[0]), int(r.frame_idx), int((mask == 255).sum())))
                 last = int(r.frame_idx)
         state.update((last, pickle.dumps(model)))
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutTimestamp(int(p["ts"].max().timestamp() * 1000) + 3_600_000)
         yield pd.DataFrame(out, columns=["stream_id", "frame_idx", "foreground"])
 
-    return df.withWatermark("ts", lateness).groupBy("stream_id").applyInPandasWithState(work, "stream_id bigint, frame_idx bigint, foreground bigint", "last bigint, model binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return df.withWatermark("ts", lateness).groupBy("stream_id").applyInPandasWithState(work, "stream_id bigint, frame_idx bigint, foreground bigint", "last bigint, model binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def kalman(pts: DataFrame) -> DataFrame:
