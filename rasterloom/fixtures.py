@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.images import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,7 +20,7 @@ def images8(spark: SparkSession, d: str) -> DataFrame:
     """An 8x8 grey image per embedding, as image rows: no shuffle."""
     data = F.unhex(F.array_join(F.transform("embedding", lambda e: F.lpad(F.hex(_grey_level(e)), 2, "0")), ""))
     size = [F.lit(n).alias(m) for n, m in ((8, "height"), (8, "width"), (1, "channels"))]
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("img_id"), *size, data.alias("data"))
+    return spread(table(spark, d, "embeddings").select(F.col("vec_id").alias("img_id"), *size, data.alias("data")))
 
 
 def img8(spark: SparkSession, d: str) -> DataFrame:
@@ -43,7 +45,7 @@ def page_images(spark: SparkSession, d: str) -> DataFrame:
     n = F.least(F.lit(4096), F.expr("(length(html) div 64) * 64")).cast("int")
     codes = F.transform(F.split(F.substring("html", 1, 4096), ""), lambda ch: F.lpad(F.hex(F.ascii(ch) % 256), 2, "0"))
     data = F.unhex(F.array_join(F.slice(codes, F.lit(1), n), ""))
-    return table(spark, d, "pages").where("length(html) >= 64").select(F.col("page_id").alias("img_id"), (n / 64).cast("int").alias("height"), F.lit(64).alias("width"), F.lit(1).alias("channels"), data.alias("data"))
+    return spread(table(spark, d, "pages").where("length(html) >= 64")).select(F.col("page_id").alias("img_id"), (n / 64).cast("int").alias("height"), F.lit(64).alias("width"), F.lit(1).alias("channels"), data.alias("data"))
 
 
 def pts(spark: SparkSession, d: str) -> DataFrame:

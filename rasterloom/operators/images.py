@@ -42,6 +42,12 @@ def arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(d.as_buffer(), np.uint8).reshape(i, j, k) for d, i, j, k in zip(data, h, w, c, strict=True)]
 
 
+def spread(images: DataFrame) -> DataFrame:
+    """Images of a source with fewer splits than there are cores, dealt out anew: kernels cost more than moving them. For plans without a shuffle."""
+    wanted = images.sparkSession.sparkContext.defaultParallelism
+    return images.repartition(wanted) if images.rdd.getNumPartitions() < wanted else images
+
+
 def _planes(ids: pa.Array, out: list[np.ndarray]) -> pa.RecordBatch:
     out = [np.asarray(a, float) for a in out]
     out = [a.reshape(1, 1, 1) if a.ndim == 0 else a[None, :, None] if a.ndim == 1 else a[..., None] if a.ndim == 2 else a for a in out]
