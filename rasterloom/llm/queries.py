@@ -52,11 +52,37 @@ def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) sh FROM w),
+e AS (SELECT doc_id, unnest(sh) k, len(sh) n FROM s),
+p AS (SELECT a.doc_id a, b.doc_id b, count(*) i, min(a.n) an, min(b.n) bn FROM e a JOIN e b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * i >= 85 * (an + bn - i)),
+r AS (SELECT doc_id id, doc_id comp FROM documents UNION SELECT l.b, r.comp FROM r JOIN l ON l.a = r.id),
+m AS (SELECT id, min(comp) comp FROM r GROUP BY 1)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) n_shingles, m.comp component_id, s.doc_id = m.comp kept FROM s JOIN m ON m.id = s.doc_id
+"""
+
+
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = repeats.remove(table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) h, CAST(strlen(coalesce(text, '')) AS BIGINT) n FROM documents),
+w AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 400)) k FROM (SELECT doc_id, h, unnest(range(0, n - 199)) i FROM d)),
+c AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY 1 HAVING count(*) > 1)),
+b AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END fresh FROM c),
+g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) s FROM b),
+r AS (SELECT doc_id, s, min(i) a, max(i) + 200 z FROM g GROUP BY 1, 2),
+q AS (SELECT doc_id, count(*) spans, sum(z - a) removed, list(a ORDER BY a) xs, list(z ORDER BY a) zs FROM r GROUP BY 1)
+SELECT d.doc_id, n n_bytes, CAST(coalesce(removed, 0) AS BIGINT) n_removed, coalesce(spans, 0) n_spans,
+sha256(unhex(CASE WHEN spans IS NULL THEN h ELSE array_to_string(list_transform(range(1, spans + 2), lambda j: substr(h, 2 * coalesce(zs[j - 1], 0) + 1, 2 * (coalesce(xs[j], n) - coalesce(zs[j - 1], 0)))), '') END)) kept_sha256
+FROM d LEFT JOIN q USING (doc_id)
+"""
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -83,4 +109,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": OP4_SQL}
+    return {"op4_topk": OP4_SQL, "op6_neardup": OP6_SQL, "op7_repeats": OP7_SQL}
