@@ -583,7 +583,7 @@ def match_template(image, templ, method=0):
     out = energy - 2 * cross + own if method < 2 else cross
     if method % 2:
         d = np.sqrt(energy * own)
-        out = np.where(d > 1e-9, out / np.where(d > 1e-9, d, 1), 0)
+        out = np.where(d > 0, out / np.where(d > 0, d, 1), 1.0 if method == 1 else 0.0)
     return out.astype(np.float32)
 
 
@@ -942,7 +942,7 @@ def apply_resize(a, new_w, new_h, interpolation=1):
 
 
 def _inside(a, sx, sy, interpolation):
-    ok = (sx >= 0) & (sx <= a.shape[2] - 1) & (sy >= 0) & (sy <= a.shape[1] - 1)
+    ok = (sx >= 0) & (sx < a.shape[2]) & (sy >= 0) & (sy < a.shape[1])
     return np.where(ok[None, ..., None], sample(a, np.where(ok, sx, 0), np.where(ok, sy, 0), interpolation), 0).astype(np.uint8)
 
 

@@ -426,18 +426,17 @@ def hu_moments(moments_dict):
 
 
 def match_shapes(contour1, contour2, method=1):
-    """Difference of the contours' Hu moments on a signed log scale; tiny ones don't count."""
+    """Difference of the contours' Hu moments on a signed log scale: 1 of inverses, 2 plain, 3 the largest relative one. A vanishing moment counts as 0."""
     a, b = (np.array(hu_moments(moments(np.asarray(c, np.int32)))) for c in (contour1, contour2))
-    ok = (np.abs(a) > 1e-5) & (np.abs(b) > 1e-5)
-    x, y = (np.sign(v[ok]) * np.log10(np.abs(v[ok])) for v in (a, b))
-    ok = (np.abs(x) > 1e-9) & (np.abs(y) > 1e-9)
-    x, y = x[ok], y[ok]
+    x, y = (np.where(np.abs(v) < 1e-20, 0, np.sign(v) * np.log10(np.maximum(np.abs(v), 1e-300))) for v in (a, b))
     if method == 1:
-        return float(np.abs(1 / x - 1 / y).sum())
+        ok = (np.abs(x) > 1e-9) & (np.abs(y) > 1e-9)
+        return float(np.abs(1 / x[ok] - 1 / y[ok]).sum())
     if method == 2:
         return float(np.abs(x - y).sum())
     if method == 3:
-        return float((np.abs(x - y) / np.abs(x)).max(initial=0))
+        ok = np.abs(x) > 1e-9
+        return float((np.abs(x - y)[ok] / np.abs(x[ok])).max(initial=0))
     raise ValueError("method 1, 2 or 3")
 
 

@@ -102,6 +102,15 @@ def test_shapes():
     assert np.allclose(cv.hu_moments(cv.moments(square.astype(np.int32)))[0], cv.hu_moments(cv.moments(turned.astype(np.int32)))[0])
 
 
+def test_shape_distance():
+    square = np.array([(0, 0), (4, 0), (4, 4), (0, 4)])
+    assert all(cv.match_shapes(square, square * 3, m) == pytest.approx(0, abs=1e-9) for m in (1, 2, 3)) and cv.match_shapes(square, square * [1, 4], 2) > 0.1
+    d = np.full((4, 4), 7.0)
+    assert cv.match_template(d, np.zeros((2, 2)), 1).max() == 1 and cv.match_template(d, np.full((2, 2), 7.0), 3).min() == pytest.approx(1)
+    x, y = np.meshgrid(np.arange(4) + 0.6, np.arange(4.0))
+    assert (cv.apply_remap(d.astype(np.uint8), x, y, 0)[:, 3] == 7).all()
+
+
 def test_drawing():
     z = np.zeros((8, 8), np.uint8)
     assert cv.line(z, (0, 0), (7, 7), 5).trace() == 40 and cv.rectangle(z, (1, 1), (3, 3), 1, -1).sum() == 9 and cv.rectangle(z, (1, 1), (3, 3), 1).sum() == 8
