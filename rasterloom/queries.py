@@ -17,6 +17,7 @@ from . import fixtures as fx
 from .kernels import dense, detect, features, shapes
 from .operators import images as im
 from .operators import px as rel
+from .operators.groups import by_key
 from .registry import ALIASES, KERNELS, MODULE_OF
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -276,20 +277,8 @@ add("moments", lambda s, d: rel.moments(fx.img8(s, d)), fx.with_fixtures("SELECT
 
 
 def contours(name: str, f: Callable, schema: str, names: list[str]) -> None:
-    """A kernel per contour: a user's points are few and meet in one group."""
-
-    def query(s: SparkSession, d: str) -> DataFrame:
-        import pandas as pd
-
-        def one(key, p):
-            p = p.sort_values("i")
-            out = f(p[["x", "y"]].to_numpy(np.int32))
-            return pd.DataFrame([(key[0], *t) for t in out], columns=["contour_id", *names])
-
-        im._ship(fx.pts(s, d))
-        return fx.pts(s, d).groupBy("contour_id").applyInPandas(one, f"contour_id bigint, {schema}")
-
-    add(name, query)
+    """A kernel per contour."""
+    add(name, lambda s, d: by_key(fx.pts(s, d), "contour_id", "i", ["x", "y"], lambda p: f(p.astype(np.int32)), schema, names))
 
 
 def _try(f: Callable) -> Callable:
@@ -449,24 +438,12 @@ constant("triangulatePoints", lambda: photo.triangulatePoints(KM @ np.eye(3, 4),
 
 
 def _grouped(name: str, f: Callable, schema: str, columns: list[str]) -> None:
-    """A kernel over the boxes of an image."""
-
-    def query(s: SparkSession, d: str) -> DataFrame:
-        import pandas as pd
-
-        def one(key, p):
-            p = p.sort_values("box_id")
-            return pd.DataFrame([(key[0], *t) for t in f(p)], columns=["img_id", *columns])
-
-        b = fx.boxes(s, d)
-        im._ship(b)
-        return b.groupBy("img_id").applyInPandas(one, f"img_id bigint, {schema}")
-
-    add(name, query)
+    """A kernel over the boxes of an image: rows of box_id, x, y, w, h, score."""
+    add(name, lambda s, d: by_key(fx.boxes(s, d), "img_id", "box_id", ["box_id", "x", "y", "w", "h", "score"], f, schema, columns))
 
 
-_grouped("NMSBoxes", lambda p: [(int(p.box_id.iloc[i]),) for i in detect.NMSBoxes(p[["x", "y", "w", "h"]].to_numpy(), p.score.to_numpy(), 100, 0.3)], "box_id bigint", ["box_id"])
-_grouped("groupRectangles", lambda p: [(*map(int, r), int(n)) for r, n in zip(*detect.groupRectangles(p[["x", "y", "w", "h"]].to_numpy(), 1, 0.9), strict=True)], "x int, y int, w int, h int, n int", ["x", "y", "w", "h", "n"])
+_grouped("NMSBoxes", lambda p: [(int(p[i, 0]),) for i in detect.NMSBoxes(p[:, 1:5], p[:, 5], 100, 0.3)], "box_id bigint", ["box_id"])
+_grouped("groupRectangles", lambda p: [(*map(int, r), int(n)) for r, n in zip(*detect.groupRectangles(p[:, 1:5], 1, 0.9), strict=True)], "x int, y int, w int, h int, n int", ["x", "y", "w", "h", "n"])
 
 
 def _net(s: SparkSession, d: str) -> DataFrame:
