@@ -5,7 +5,8 @@ The kernel of two texts is the blended spectrum of 1- to 3-grams of bytes: the n
 landmarks turn the kernel into short vectors, on which ridge regression is trained one language against the rest.
 A chunk of texts is scored by two matrix products: presence by landmarks, then kernel rows by weights.
 
-Fitted on a bounded sample (`most` documents a language, `landmarks` in all). Defined results: `und` with score 0 if
+Fitted on a bounded sample of every language: `most` documents each, fewer where TOTAL is shared by many languages,
+and `landmarks` in all, but one a language at least. More than LANGUAGES languages are an error. Defined results: `und` with score 0 if
 the text is null or has no letter, or nothing could be learned; equal texts get equal results. A-Z count as a-z.
 Extra columns pass through.
 """
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from . import common, sample, scan
 
 SIZE = 1 << 12  # presence bits
+LANGUAGES = 512  # the model holds SIZE numbers for each of them at least
+TOTAL = 64_000  # documents in the sample
 
 
 def presence(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -80,7 +83,7 @@ def fit(docs: DataFrame, lang: str = "lang", id: str = "doc_id", text: str = "te
     """A model from about `most` documents of each language outside the held-out fold."""
     rows = docs.where(common.fold(id, folds) != held)
     # Sampling sees ids and languages alone; the texts come afterwards.
-    chosen = sample.stratified(rows.select(F.col(id).alias("id"), F.col(lang).alias("lang")), "id", "lang", most).toArrow()
+    chosen = sample.stratified(rows.select(F.col(id).alias("id"), F.col(lang).alias("lang")), "id", "lang", most, LANGUAGES, TOTAL).toArrow()
     if not chosen.num_rows:
         return None
     small = docs.sparkSession.createDataFrame(chosen).distinct().withColumnRenamed("lang", "l")

@@ -10,18 +10,24 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def stratified(rows: DataFrame, key: str, label: str, most: int, classes: int = 64) -> DataFrame:
+def stratified(rows: DataFrame, key: str, label: str, most: int, classes: int = 64, total: int | None = None) -> DataFrame:
     """About `most` rows of each class (all, if a class has fewer): those whose key's hash is least. Rows without label or key don't count.
 
-    What the driver sees is one count per class, of at most `classes` classes (the largest).
+    With `total`, many classes share out that many rows evenly. What the driver sees is one count per class; more than
+    `classes` classes are an error, since none is left out.
     """
     rows = rows.where(F.col(label).isNotNull() & F.col(key).isNotNull())
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(classes).collect()
-    take = F.lit(0.0)
-    for r in counts:
-        take = F.when(F.col(label) == F.lit(r[0]), F.lit(min(1.0, most / r[1]))).otherwise(take)
+    counts = rows.groupBy(label).count().limit(classes + 1).collect()
+    if len(counts) > classes:
+        raise ValueError(f"{label} has more than {classes} values")
+    if total and counts:
+        most = min(most, max(1, total // len(counts)))
+    share, name = common.free_name(rows, "share"), common.free_name(rows, "class")
+    kind = rows.schema[label].dataType.simpleString()
+    shares = rows.sparkSession.createDataFrame([(r[0], min(1.0, most / r[1])) for r in counts], f"`{name}` {kind}, `{share}` double")
     place = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    return rows.where(place < take).limit(2 * most * max(1, len(counts)))
+    some = rows.join(F.broadcast(shares), rows[label] == shares[name]).where(place < F.col(share))
+    return some.select(*rows.columns).limit(2 * most * max(1, len(counts)))
 
 
 def texts(docs: DataFrame, labels: DataFrame, label: str, most: int, folds: int, held: int, id: str = "doc_id", text: str = "text") -> tuple[pa.Table, np.ndarray]:

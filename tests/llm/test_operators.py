@@ -301,3 +301,18 @@ def test_langid_held_out(spark, odd, empty):
     got = {r.doc_id: r for r in langid.identify(odd, model).collect()}
     assert all(got[i].lang_pred == "und" and got[i]["score_"] == 0 for i in (0, 1, 2, 11)) and got[5].lang_pred != "und"
     assert langid.identify(empty, None).count() == 0 and langid.fit(empty) is None
+
+
+def test_langid_learns_every_language(spark):
+    # 70 languages of words of their own; the last ones have the fewest documents.
+    words = np.random.default_rng(4).integers(97, 123, (70, 9, 7)).astype(np.uint8)
+    word = lambda i, j: words[i, j].tobytes().decode()
+    rows = [(100 * i + j, " ".join(word(i, (j + k) % 9) for k in range(20)), f"l{i:02}") for i in range(70) for j in range(30 if i < 64 else 12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(docs)
+    assert model.languages == [f"l{i:02}" for i in range(70)] and model.landmarks.shape[1] >= 70
+    told = langid.identify(docs, model).where("lang >= 'l64'").collect()
+    assert np.mean([r.lang_pred == r.lang for r in told]) > 0.97
+    many = spark.range(2 * langid.LANGUAGES).selectExpr("id doc_id", "'text' text", "concat('l', id) lang")
+    with pytest.raises(ValueError):
+        langid.fit(many)
