@@ -32,9 +32,19 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each class: five-word shingles, similarity 0.8 or more."""
-    gone = neardup.classes(docs, k=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each class, that of least id (null comes last): five-word shingles, similarity 0.8 or more.
+
+    Rows are told apart by a number of their own, so repeated rows and ids, and rows without an id, are members like others.
+    """
+    row, tie = common.free_name(docs, "row"), F.xxhash64(*docs.columns)
+    rows = common.written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    told = common.written(neardup.classes(rows, id=row, k=5, percent=80), "classes")
+    several = told.join(told.where("not kept").select("component_id").distinct(), "component_id", "left_semi").select("component_id", F.col("doc_id").alias("row"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), tie.alias("tie"), F.col(row).alias("row"))
+    members = several.join(rows.select(order.alias("order")), F.col("row") == F.col("order.row")).select("component_id", "order")
+    least = members.groupBy("component_id").agg(F.min("order").alias("least"))
+    gone = members.join(least, "component_id").where("order.row != least.row").select(F.col("order.row").alias(row))
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def repeated_text_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

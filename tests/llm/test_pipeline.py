@@ -4,6 +4,7 @@ import collections
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rasterloom.llm import common
@@ -52,3 +53,20 @@ def test_stages(spark):
         if name == "packing":
             assert {r.doc_id for r in after} == {r.doc_id for r in before}
         before = after
+
+
+def test_one_row_of_every_class_stays(spark):
+    x, y, z = (" ".join(f"{w}{i}" for i in range(60)) for w in "xyz")
+    near = z.replace("z30", "other")
+    rows = [(1, z, "a"), (1, z, "a"), (5, x, "a"), (5, y, "a"), (3, x, "a"), (None, near + " a", "b"), (None, near + " a", "b"), (None, "alone " * 9, "c"), (7, None, "d"), (7, None, "d")]
+    docs = common.written(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), "test").repartition(3)
+    docs = docs.withColumn("n_chars", F.length("text").cast("bigint"))
+    left = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+    assert left.columns == docs.columns
+    own = collections.Counter((r.doc_id, r.text) for r in left.collect())
+    assert own == collections.Counter([(1, z), (5, y), (3, x), (None, "alone " * 9), (7, None), (7, None)])
+    # Rows without an id erase neither each other nor their class.
+    nameless = spark.createDataFrame([(None, x, "a"), (None, x, "a"), (None, x + " end", "b")], "doc_id bigint, text string, source string").withColumn("n_chars", F.length("text").cast("bigint"))
+    left = corpus_pipeline.near_duplicate_stage(spark, nameless, SF)
+    after = corpus_pipeline.repeated_text_stage(spark, left, SF).collect()
+    assert len(after) == 1 and after[0].text in (x, x + " end")
