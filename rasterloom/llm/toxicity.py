@@ -7,7 +7,7 @@ tokens. The field learns emissions and transitions from them by gradient steps o
 Forward-backward runs over all tokens of a chunk at once, as a blocked scan of 2x2 matrices that restarts at every
 text. Documents are scored by a logistic regression on their marginals; tokens over half are the offending spans.
 
-Fitted on a bounded sample (`most` documents a class). Defined results: null and empty texts have no tokens and
+Fitted on a bounded sample (`most` documents a class), weighted in the regression for all labelled documents. Defined results: null and empty texts have no tokens and
 the score of such; equal texts have equal scores; without labels of both kinds every score is 0. Extra columns
 pass through. Offsets count code points.
 """
@@ -158,7 +158,7 @@ def _cover(pairs: np.ndarray, toxic: int, plain: np.ndarray, others: int, least:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 3000, folds: int = 5, held: int = 0, rounds: int = 6, steps: int = 80) -> Field | None:
     """A field from at most about `most` documents of either label outside the held-out fold."""
-    table, y = sample.texts(docs, labels, label, most, folds, held)
+    table, y, weight = sample.texts(docs, labels, label, most, folds, held)
     if len(np.unique(y)) < 2:
         return None
     parts, at = [], 0
@@ -210,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 30
     for data, off, _ in parts:
         _, _, first, p = field.tag(data, off)
         x.append(document_features(p, first))
-    field.document = sample.logistic(np.concatenate(x), y.astype(float))
+    field.document = sample.logistic(np.concatenate(x), y.astype(float), weight)
     return field
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.llm import bpe, fingerprint, langid, neardup, packing, quality, queries, repeats, suffix, topk, toxicity, urls
+from rasterloom.llm import bpe, fingerprint, langid, neardup, packing, quality, queries, repeats, sample, suffix, topk, toxicity, urls
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, ids string, kept string"
@@ -316,3 +316,25 @@ def test_langid_learns_every_language(spark):
     many = spark.range(2 * langid.LANGUAGES).selectExpr("id doc_id", "'text' text", "concat('l', id) lang")
     with pytest.raises(ValueError):
         langid.fit(many)
+
+
+def test_sample_bound_leaves_threshold_and_odds(spark):
+    # Six good documents to a bad one, and features that overlap: what the bound cuts moved the threshold to a half.
+    rng = np.random.default_rng(6)
+    bad = rng.random(12_000) < 1 / 7
+    text = lambda b: " ".join(rng.choice(["word", "thing!!", "stop."], 40, p=[0.6, 0.3, 0.1] if b else [0.68, 0.22, 0.1]))
+    rows = [(i, text(b), int(not b), int(b)) for i, b in enumerate(bad)]
+    both = spark.createDataFrame(rows, "doc_id bigint, text string, quality int, toxic int")
+    docs, labels = both.select("doc_id", "text"), both.drop("text")
+    share = []
+    for most in (900, 12_000):
+        rows = quality.rank(docs, quality.fit(docs, labels, most=most)).collect()
+        share.append(np.mean([r.score < 0.3 for r in rows]))
+    assert max(abs(s - bad.mean()) for s in share) < 0.06, share
+    _, y, weight = sample.texts(docs, labels, "toxic", 900, 5, 0)
+    whole = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5]
+    assert round(weight.sum()) == len(whole) and round(weight[y == 1].sum()) == sum(bad[r.doc_id] for r in whole)
+    odds = sample.logistic(np.zeros((len(y), 1)), y.astype(float), weight)[-1]
+    assert abs(1 / (1 + np.exp(-odds)) - np.mean([bad[r.doc_id] for r in whole])) < 1e-6
+    z = rng.random(50)
+    assert np.isclose(sample.quantile(z, np.ones(50), 0.3), np.quantile(z, 0.3))
