@@ -7,14 +7,24 @@ that share a key with other contents (or meet their own key's gram twice) are se
 key, where the suffix array with common-prefix values (suffix.py) tells which windows start elsewhere too. So the
 result is that of one suffix array over the whole corpus, while what is sorted is a small part of it.
 
+A key of more than `hot` bytes of contents (a line in very many surroundings) is split: its gram is set aside for the
+whole corpus and its windows take the least hash of their other grams. What is hot after SPLITS such rounds, windows
+that are boilerplate almost wholly, has its own digest for a key and is settled by counts. Equal windows have equal
+keys in every round. At most (bytes of all segments) / hot grams are set aside in a round. A shard over IN_MEMORY bytes
+is sorted on the task's disk, with a bounded number of tuples in memory.
+
+Equal contents are told by a 64-bit digest under an equal 44-bit key; no more than that is compared.
+
 Defined results: a null text is an empty text; texts shorter than `length` lose nothing; repeated rows lose every
-window that they share; extra columns pass through. A result's name that the table uses takes an underscore.
+window that they share; an empty table gives an empty table; extra columns pass through. A result's name that the
+table uses takes an underscore.
 """
 
 from __future__ import annotations
 
 import shutil
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +37,10 @@ from . import bpe, common, scan, suffix
 GRAM = 48
 PLACE = 20  # bits of a place in a part of a text; longer texts come in parts, which share out the windows
 SHARD = 2 << 20  # bytes of contents sorted at a time, more only for a single key
-IN_MEMORY = 32 << 20  # bytes beyond which a shard's queues and text go to the task's disk
+IN_MEMORY = 4 << 20  # bytes beyond which a shard's text, queues and results go to the task's disk
+HOT = 64 << 20  # bytes of contents beyond which a key is split
+SPLITS = 3  # rounds of other keys for windows under hot ones
+TUPLES = 1 << 18  # tuples that a queue on disk holds in memory
 
 
 @lru_cache(1)
@@ -50,8 +63,12 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def segments(data: np.ndarray, off: np.ndarray, length: int) -> list[np.ndarray]:
-    """Text, first and last window, key, content digest and whether the key's gram occurs twice, of every segment."""
+def segments(data: np.ndarray, off: np.ndarray, length: int, aside: np.ndarray | None = None, only: np.ndarray | None = None, own_key: bool = False) -> list[np.ndarray]:
+    """Text, first and last window, key, content digest and whether the key's gram occurs twice, of every segment.
+
+    aside: sorted keys of grams that don't count. only: which windows are wanted, by their place in data. own_key: every
+    window's own digest is its key.
+    """
     out = []
     step = (1 << PLACE) - length
     for base in range(0, max(1, len(data) - length + 1), step):
@@ -66,13 +83,21 @@ def segments(data: np.ndarray, off: np.ndarray, length: int) -> list[np.ndarray]
         span = GRAM - 7
         g = scan.mix((total[span : span + grams] - total[:grams]) * down[:grams])
         low = np.uint64((1 << PLACE) - 1)
+        if aside is not None and len(aside):
+            own = g >> np.uint64(PLACE)
+            g[aside[np.minimum(np.searchsorted(aside, own), len(aside) - 1)] == own] = ~np.uint64(0)
         at = np.arange(grams, dtype=np.uint64)
         w, count = length - GRAM + 1, min(n - length + 1, step)
         left = _window_min((g & ~low) | at, w)[:count]
         right = _window_min((g & ~low) | (low - at), w)[:count]
         doc = np.searchsorted(off, base + np.arange(count), "right") - 1 if len(off) < 3 else np.repeat(np.arange(len(off) - 1), np.diff(off))[base : base + count]
         valid = base + np.arange(count) + length <= off[doc + 1]
+        if only is not None:
+            valid &= only[base : base + count]
         key = left >> np.uint64(PLACE)
+        bare = key == (~np.uint64(0) >> np.uint64(PLACE)) if not own_key else np.ones(count, bool)  # windows without a gram that counts
+        i = np.flatnonzero(bare)
+        key[i] = scan.mix((total[i + length - 7] - total[i]) * down[i]) >> np.uint64(PLACE)
         fresh = valid.copy()
         fresh[1:] &= ~valid[:-1] | (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
         s = np.flatnonzero(fresh)
@@ -81,89 +106,168 @@ def segments(data: np.ndarray, off: np.ndarray, length: int) -> list[np.ndarray]
         stop = valid & np.append(fresh[1:] | ~valid[1:], True)
         e = np.flatnonzero(stop)
         digest = scan.mix(((total[e + length - 7] - total[s]) * down[s]) ^ scan.mix((e - s).astype(np.uint64) + np.uint64(3)))
-        twice = (left[s] & low) != (low - (right[e] & low))
+        twice = np.where(bare[s] | bare[e], e > s, (left[s] & low) != (low - (right[e] & low)))
         out.append((doc[s], base + s - off[doc[s]], base + e - off[doc[s]], key[s].view(np.int64), digest.view(np.int64), twice))
     return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5 + [np.zeros(0, bool)]
 
 
-def repeated(contents: list[np.ndarray], whole: np.ndarray, length: int, scratch: str | None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Byte ranges of each content that windows with a second start cover. whole: contents that occur twice themselves."""
-    size = np.array([len(c) for c in contents])
-    at = np.cumsum(size + 1) - size - 1
-    n = int(size.sum() + len(size))
-    text = np.memmap(f"{scratch}/text", np.uint16, "w+", shape=(n,)) if scratch else np.zeros(n, np.uint16)
-    for a, c in zip(at.tolist(), contents, strict=True):
-        text[a : a + len(c)] = c
-        text[a : a + len(c)] += 1
-    order, lcp = suffix.suffix_array(text, length, True, scratch, full=False)
-    again = np.zeros(n, bool)
-    hit = lcp >= length
-    again[order[hit]] = True
-    again[order[:-1][hit[1:]]] = True
-    out = []
-    for a, m, w in zip(at.tolist(), size.tolist(), whole.tolist(), strict=True):
-        own = again[a : a + m - length + 1] | w
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]])))
-        out.append((edge[::2], edge[1::2] - 1 + length))
-    return out
+class Shard:
+    """Contents under some keys, in memory or, if they are many, in a file of the task's scratch folder."""
 
+    def __init__(self, length: int, in_memory: int = IN_MEMORY, tuples: int = TUPLES):
+        self.length, self.in_memory, self.tuples = length, in_memory, tuples
+        self.k, self.d, self.size = array("q"), array("q"), array("q")
+        self.whole = bytearray()
+        self.parts: list[np.ndarray] = []
+        self.held, self.waiting, self.scratch = 0, 0, None
 
-def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows of (k, d, whole, content) sorted by k to k, d, from, to."""
-    rows: dict[tuple[int, int], tuple[np.ndarray, bool]] = {}
-    held, last = 0, None
+    def add(self, k: int, d: int, whole: bool, content: np.ndarray) -> None:
+        self.k.append(k)
+        self.d.append(d)
+        self.size.append(len(content))
+        self.whole.append(whole)
+        self.parts.append(content)
+        self.held += len(content) + 1
+        self.waiting += len(content) + 1
+        if self.waiting > self.in_memory:
+            self.scratch = self.scratch or common.local_scratch()
+            with open(f"{self.scratch}/text", "ab") as f:
+                self._text().tofile(f)
+            self.parts, self.waiting = [], 0
+
+    def _text(self) -> np.ndarray:
+        """The contents in memory, each ended by a symbol below all bytes."""
+        size = np.array([len(p) for p in self.parts], np.int64)
+        text = np.zeros(int(size.sum()) + len(size), np.uint16)
+        if len(size):
+            text[scan.ragged(np.cumsum(size + 1) - size - 1, size)] = np.concatenate(self.parts).astype(np.uint16) + 1
+        return text
 
-    def answer() -> pa.RecordBatch:
-        scratch = common.local_scratch() if held > IN_MEMORY else None
+    def repeated(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Content numbers and the byte ranges in them that windows with a second start cover."""
+        length, size = self.length, np.array(self.size, np.int64)
+        at = np.cumsum(size + 1) - size - 1
+        if self.scratch:
+            with open(f"{self.scratch}/text", "ab") as f:
+                self._text().tofile(f)
+            self.parts = []
+            text = np.memmap(f"{self.scratch}/text", np.uint16, "r")
+        else:
+            text = self._text()
+        store = suffix.Store(self.scratch)
+        order, value = suffix.suffix_array(text, length, self.scratch, self.tuples, False, store)
+        again = store.array(len(text), bool)
+        for i in range(0, len(text), suffix.STEP):
+            hit = np.flatnonzero(np.asarray(value[i : i + suffix.STEP]) >= length) + i  # never the first suffix
+            again[order[hit]] = True
+            again[order[hit - 1]] = True
+        whole = np.frombuffer(bytes(self.whole), np.uint8)
+        first = 0
+        while first < len(size):
+            last = max(first + 1, int(np.searchsorted(at, at[first] + suffix.STEP)))
+            base, n, own = at[first], int(at[last - 1] + size[last - 1] + 1 - at[first]), slice(first, last)
+            change, sure = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32)
+            windows = np.maximum(size[own] - length + 1, 0)
+            for mark, by in ((change, 1), (sure, whole[own].astype(np.int32))):
+                np.add.at(mark, at[own] - base, by)
+                np.add.at(mark, at[own] - base + windows, -by)
+            flag = np.concatenate([[False], (np.cumsum(change[:-1]) > 0) & (np.asarray(again[base : base + n]) | (np.cumsum(sure[:-1]) > 0)), [False]])
+            edge = np.flatnonzero(flag[1:] != flag[:-1]) + base
+            which = np.searchsorted(at, edge[::2], "right") - 1
+            yield which, edge[::2] - at[which], edge[1::2] - 1 + length - at[which]
+            first = last
+
+    def answer(self) -> Iterator[pa.RecordBatch]:
         try:
-            found = repeated([c for c, _ in rows.values()], np.array([w for _, w in rows.values()]), length, scratch)
+            for which, a, b in self.repeated():
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(self.k)[which]), pa.array(np.array(self.d)[which]), pa.array(a), pa.array(b)], names=["k", "d", "from", "to"])
         finally:
-            if scratch:
-                shutil.rmtree(scratch, ignore_errors=True)
-        many = np.array([len(a) for a, _ in found])
-        keys = np.repeat(np.array(list(rows), np.int64).reshape(-1, 2), many, 0)
-        return pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(np.concatenate([a for a, _ in found])), pa.array(np.concatenate([b for _, b in found]))], names=["k", "d", "from", "to"])
+            if self.scratch:
+                shutil.rmtree(self.scratch, ignore_errors=True)
+
 
+def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Rows of (k, d, whole, content) sorted by k and d to k, d, from, to."""
+    shard, last = Shard(length), None
     for batch in batches:
         data, off = common.utf8(batch.column(3))
         for i, (k, d, whole) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True)):
-            if k != last and held >= SHARD:
-                yield answer()
-                rows, held = {}, 0
-            last = k
-            if (k, d) not in rows:
-                rows[k, d] = (data[off[i] : off[i + 1]].copy(), whole)
-                held += int(off[i + 1] - off[i])
-    if rows:
-        yield answer()
-
-
-def remove(df: DataFrame, text: str = "text", id: str = "doc_id", length: int = 200) -> DataFrame:
+            if last is not None and k != last[0] and shard.held >= SHARD:
+                yield from shard.answer()
+                shard = Shard(length)
+            if (k, d) != last:  # repeated rows send their contents twice
+                shard.add(k, d, whole, data[off[i] : off[i + 1]].copy())
+            last = (k, d)
+    if last is not None:
+        yield from shard.answer()
+
+
+def _some(narrow: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Texts joined with what is wanted of them. A broadcast of at most 16 MB of ids keeps other texts out of the shuffle; beyond that all are shuffled."""
+    ids = wanted.select("t", "r")
+    some = narrow.join(F.broadcast(ids) if wanted.count() <= 1_000_000 else ids, ["t", "r"], "left_semi")
+    return some.join(wanted, ["t", "r"])
+
+
+def _keyed(narrow: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(t, r, body) to all segments (t, r, s, e, k, d, twice), and the keys that may hold a repeat (k, mixed, bytes)."""
+    spark = narrow.sparkSession
+    aside = np.zeros(0, np.uint64)
+
+    def cut(send: object, limited: bool, own_key: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, data, off in common.chunks(batches, "body", 1 << 20):
+                only = None
+                if limited:
+                    spans = batch.column(3)
+                    doc = np.repeat(np.arange(batch.num_rows), spans.value_lengths().to_numpy(zero_copy_only=False))
+                    s, e = (x.to_numpy() for x in spans.flatten().flatten())
+                    edge = np.zeros(len(data) + 2, np.int32)
+                    np.add.at(edge, off[doc] + s, 1)
+                    np.add.at(edge, off[doc] + e + 1, -1)
+                    only = np.cumsum(edge) > 0
+                doc, *columns = segments(data, off, length, send.value, only, own_key)
+                ids = [batch.column(j).take(pa.array(doc)) for j in range(2)]
+                yield pa.RecordBatch.from_arrays([*ids, *(pa.array(c) for c in columns)], names=["t", "r", "s", "e", "k", "d", "twice"])
+
+        return run
+
+    schema = "t bigint, r bigint, s bigint, e bigint, k bigint, d bigint, twice boolean"
+    all_ = common.written(narrow.select("t", "r", "body").mapInArrow(cut(spark.sparkContext.broadcast(aside), False), schema), "segments")
+    for turn in range(SPLITS + 2):
+        keys = all_.groupBy("k").agg(F.count("*").alias("n"), F.min("d").alias("x"), F.max("d").alias("y"), F.max("twice").alias("twice"), F.sum(F.col("e") - F.col("s") + length).alias("bytes")).where("n > 1 or twice")
+        shared = common.written(keys.select("k", ((F.col("x") != F.col("y")) | F.col("twice")).alias("mixed"), "bytes"), "keys")
+        if turn > SPLITS:
+            break
+        found = shared.where(F.col("mixed") & (F.col("bytes") > hot)).select("k").toArrow()  # at most all bytes / hot keys
+        if not found.num_rows:
+            break
+        common.forget(shared)
+        aside = np.union1d(aside, found.column("k").to_numpy().astype(np.uint64))
+        hot_keys = F.broadcast(spark.createDataFrame(found))
+        redo = common.written(all_.join(hot_keys, "k", "left_semi").groupBy("t", "r").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "redo")
+        again = _some(narrow, redo).select("t", "r", "body", "spans").mapInArrow(cut(spark.sparkContext.broadcast(aside), True, turn == SPLITS), schema)
+        before, all_ = all_, common.written(all_.join(hot_keys, "k", "left_anti").unionByName(again), "segments")
+        common.forget(before)
+        common.forget(redo)
+    return all_, shared
+
+
+def remove(df: DataFrame, text: str = "text", id: str = "doc_id", length: int = 200, hot: int = HOT) -> DataFrame:
     """df without its text, with n_bytes, n_removed, n_spans and kept (the remaining bytes)."""
     spark = df.sparkSession
     common.ship(spark)
-    t, r, body = (common.free_name(df, c) for c in ("text_hash", "row_hash", "body"))
+    t, r, body, lost = (common.free_name(df, c) for c in ("text_hash", "row_hash", "body", "gone"))
     docs = df.withColumn(body, F.coalesce(F.col(text), F.lit(""))).withColumn(t, F.xxhash64(body)).withColumn(r, F.xxhash64(F.col(id), F.lit(7), F.length(body)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, off in common.chunks(batches, "body", 1 << 20):
-            doc, *columns = segments(data, off, length)
-            ids = [batch.column(j).take(pa.array(doc)) for j in range(2)]
-            yield pa.RecordBatch.from_arrays([*ids, *(pa.array(c) for c in columns)], names=["t", "r", "s", "e", "k", "d", "twice"])
-
     narrow = docs.select(F.col(t).alias("t"), F.col(r).alias("r"), F.col(body).alias("body"))
-    all_ = common.written(narrow.mapInArrow(cut, "t bigint, r bigint, s bigint, e bigint, k bigint, d bigint, twice boolean"), "segments")
-    shared = all_.groupBy("k").agg(F.count("*").alias("n"), F.min("d").alias("x"), F.max("d").alias("y"), F.max("twice").alias("twice")).where("n > 1 or twice").select("k", ((F.col("x") != F.col("y")) | F.col("twice")).alias("mixed"))
-    hits = common.written(all_.drop("twice").join(shared, "k"), "shared")
+    all_, shared = _keyed(narrow, length, hot)
+    hits = common.written(all_.drop("twice").join(shared.select("k", "mixed"), "k"), "shared")
     common.forget(all_)
+    common.forget(shared)
     contents = hits.where("mixed").groupBy("k", "d").agg((F.count("*") > 1).alias("whole"), F.min(F.struct("t", "r", "s", "e")).alias("at"))
     by_doc = contents.groupBy("at.t", "at.r").agg(F.collect_list(F.struct("k", "d", "whole", F.col("at.s").alias("s"), F.col("at.e").alias("e"))).alias("wanted"))
     by_doc = common.written(by_doc, "wanted")
-    few = by_doc.count()
-    ids = by_doc.select("t", "r")
-    # A broadcast of at most 16 MB of ids keeps other texts out of the shuffle; beyond that they are shuffled.
-    some = narrow.join(F.broadcast(ids) if few <= 1_000_000 else ids, ["t", "r"], "left_semi")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,16 +281,19 @@ def remove(df: DataFrame, text: str = "text", id: str = "doc_id", length: int =
                 content = bpe.binary_of(data[scan.ragged(a, size)], np.concatenate([[0], np.cumsum(size)]))
                 yield pa.RecordBatch.from_arrays([k, d, whole, content], names=["k", "d", "whole", "content"])
 
-    sent = some.join(by_doc, ["t", "r"]).select("body", "wanted").mapInArrow(send, "k bigint, d bigint, whole boolean, content binary")
+    sent = _some(narrow, by_doc).select("body", "wanted").mapInArrow(send, "k bigint, d bigint, whole boolean, content binary")
     sorted_ = sent.repartition(parts, "k").sortWithinPartitions("k", "d")
     ranges = common.written(sorted_.mapInArrow(lambda batches: _shards(batches, length), "k bigint, d bigint, `from` bigint, `to` bigint"), "ranges")
+    common.forget(by_doc)
     plain = hits.where("not mixed").select("t", "r", F.col("s").alias("a"), (F.col("e") + length).alias("b"))
     inner = hits.where("mixed").join(ranges, ["k", "d"]).select("t", "r", (F.col("s") + F.col("from")).alias("a"), (F.col("s") + F.col("to")).alias("b"))
     # Whole rows may repeat, so ranges are kept once.
-    gone = plain.union(inner).groupBy("t", "r").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
+    gone = common.written(plain.union(inner).groupBy("t", "r").agg(F.collect_set(F.struct("a", "b")).alias("gone")), "gone")
+    common.forget(hits)
+    common.forget(ranges)
     names = {c: common.free_name(df.drop(text), c) for c in ("n_bytes", "n_removed", "n_spans", "kept")}
     kept_columns = [c for c in df.columns if c != text]
-    joined = docs.select(*kept_columns, body, t, r).join(gone.select(F.col("t").alias(t), F.col("r").alias(r), F.col("gone").alias("__gone")), [t, r], "left").select(*kept_columns, body, "__gone")
+    joined = docs.select(*kept_columns, body, t, r).join(gone.select(F.col("t").alias(t), F.col("r").alias(r), F.col("gone").alias(lost)), [t, r], "left").select(*kept_columns, body, lost)
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, off in common.chunks(batches, body):

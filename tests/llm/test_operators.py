@@ -218,19 +218,96 @@ def test_repeats_equal_brute_force(spark, odd, empty):
     assert repeats.remove(empty).count() == 0
 
 
-def test_suffix_array_with_disk_queues(tmp_path):
+def test_repeats_in_a_hot_key(spark):
+    """One 48-byte line in many surroundings, and windows inside a long boilerplate: the key is split and nothing is lost."""
+    rng = np.random.default_rng(8)
+    line, plate = rng.integers(97, 123, 48).astype(np.uint8).tobytes().decode(), rng.integers(97, 123, 260).astype(np.uint8).tobytes().decode()
+    around = [rng.integers(97, 123, 100).astype(np.uint8).tobytes().decode() for _ in range(400)]
+    rows = [(i, around[i % 390] + line + around[(i * 7 + i % 11) % 400]) for i in range(4000)] + [(4000 + i, around[i][:60] + plate + around[i + 1][:60]) for i in range(300)]
+    rows += [(5000, "z" * 900), (5001, rows[3][1]), (5001, rows[3][1])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = collections.Counter((k, int(c.sum())) for k, _, c in _cover([(k, t.encode()) for k, t in rows], 200))
+    for hot in (3000, repeats.HOT):
+        assert collections.Counter((r.doc_id, r.n_removed) for r in repeats.remove(df, hot=hot).collect()) == want
+    many = spark.range(100_000).selectExpr("id doc_id", f"concat(sha2(concat('a', id), 256), sha2(concat('b', id), 256), '{line}', sha2(concat('c', id), 256), sha2(concat('d', id % 99990), 256)) text")
+    assert repeats.remove(many, hot=1 << 20).agg(F.sum("n_removed")).first()[0] == 0
+
+
+def test_repeats_beside_clashing_names(spark):
+    names = ["__gone", "gone", "body", "text_hash", "row_hash", "n_bytes", "t", "r", "spans", "k"]
+    df = spark.createDataFrame([(1, "x" * 500, *range(10)), (2, None, *range(10))], f"doc_id bigint, text string, {', '.join(f'`{n}` int' for n in names)}")
+    out = {r.doc_id: r for r in repeats.remove(df).collect()}
+    assert (out[1].n_bytes_, out[1].n_removed, out[2].n_bytes_) == (500, 500, 0) and [out[1][n] for n in names] == list(range(10))
+
+
+@pytest.mark.parametrize("rounds", [8, 1 << 12])
+def test_suffix_array_with_disk_queues(tmp_path, monkeypatch, rounds):
+    monkeypatch.setattr(suffix, "ROUNDS", rounds)
     rng = np.random.default_rng(0)
-    for it in range(120):
-        t = rng.integers(0, rng.integers(1, 5), rng.integers(1, 60))
-        t = np.tile(t[:3], 15) if it % 6 == 0 else t
-        order, lcp = suffix.suffix_array(t, cap=7, scratch=str(tmp_path) if it % 2 else None, memory=3)
-        b = t.tolist()
+    for it in range(300):
+        t = rng.integers(0, rng.integers(1, 9), rng.integers(1, 80))
+        t = np.tile(t[: rng.integers(1, 5)], 20) if it % 6 == 0 else t
+        t = np.concatenate([t, np.full(rng.integers(1, 40), 1), t]) if it % 7 == 0 else t
+        cap, full = int(rng.integers(1, 12)), bool(it % 3)
+        order, value = suffix.suffix_array(t, cap, str(tmp_path) if it % 2 else None, int(rng.choice([3, 16, 40, 1000])), full)
+        order, value, b = np.array(order)[::-1].tolist(), np.array(value).tolist(), t.tolist()
         want = sorted(range(len(b)), key=lambda i: b[i:])
-        assert order.tolist() == want
+        assert order == want if full else sorted(order) == list(range(len(b)))
         for i in range(1, len(b)):
-            x, y = b[want[i - 1] :], b[want[i] :]
+            x, y = b[order[i - 1] :], b[order[i] :]
             k = next((j for j, (u, v) in enumerate(zip(x, y, strict=False)) if u != v), min(len(x), len(y)))
-            assert lcp[i] == min(k, 7)
+            assert value[len(b) - i] == min(k, cap) and x[:cap] <= y[:cap]
+
+
+def test_suffix_array_far_larger_than_its_queue(tmp_path):
+    """3 million symbols, 20 times what the queue holds and more, within 60 MB; the recursion goes on below the first names."""
+    import tracemalloc
+
+    text = np.memmap(f"{tmp_path}/text", np.uint16, "w+", shape=(3_000_000,))
+    words = np.random.default_rng(1).integers(97, 123, (3000, 6)).astype(np.uint16)
+    words[:, 0] = 32
+    text[:] = words[np.random.default_rng(2).integers(0, 3000, 500_000)].ravel()
+    text[1_000_000:1_600_000] = 65  # a long run
+    levels, init = [], suffix.Level.__init__
+
+    def noted(self, text, *rest):
+        levels.append(len(text))
+        init(self, text, *rest)
+
+    suffix.Level.__init__ = noted
+    tracemalloc.start()
+    try:
+        order, value = suffix.suffix_array(text, 200, str(tmp_path), 1 << 17, False)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        suffix.Level.__init__ = init
+    assert peak < 60e6 and len(levels) >= 3 and levels == sorted(levels, reverse=True)
+    assert np.array_equal(np.sort(order), np.arange(len(text)))
+    at = np.random.default_rng(3).integers(1, len(text), 3000)
+    raw = np.asarray(text).astype(">u2").tobytes()
+    for a, b, v in zip(order[at - 1].tolist(), order[at].tolist(), value[at].tolist(), strict=True):
+        x, y = raw[2 * a : 2 * a + 400], raw[2 * b : 2 * b + 400]
+        k = next((j for j in range(0, min(len(x), len(y)), 2) if x[j : j + 2] != y[j : j + 2]), min(len(x), len(y))) // 2
+        assert y <= x and v == k
+
+
+def test_shards_on_disk_equal_those_in_memory():
+    rng = np.random.default_rng(5)
+    base = [rng.integers(97, 101, n).astype(np.uint8) for n in rng.integers(30, 300, 40)]
+    contents = [np.concatenate([base[i] for i in rng.integers(0, 40, 3)]) for _ in range(60)]
+    found = []
+    for limit in (1 << 30, 700):
+        shard = repeats.Shard(50, limit, 100)
+        for i, c in enumerate(contents):
+            shard.add(i // 9, i, i % 7 == 0, c)
+        found.append([tuple(r.values()) for b in shard.answer() for r in b.to_pylist()])
+    assert found[0] == found[1]
+    want = []
+    for i, (_, _, c) in enumerate(_cover([(i, c.tobytes()) for i, c in enumerate(contents)], 50)):
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], (c | (i % 7 == 0 and len(c) >= 50)).astype(int), [0]])))
+        want += [(i, int(p)) for p in edge[::2]]
+    assert {(d, a) for _, d, a, _ in found[0]} >= set(want)
 
 
 def test_fingerprints(spark, empty):
