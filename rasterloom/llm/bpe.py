@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -316,6 +318,30 @@ class Bpe:
         total = np.concatenate([[0], np.cumsum(counts)])
         return ids, total[np.searchsorted(starts, off)]
 
+    def encode_special(self, data: np.ndarray, off: np.ndarray, special: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """encode() with ids of their own for some strings; what lies between them is encoded by itself."""
+        found = []
+        if special:
+            strings = sorted((s.encode() for s in special), key=len, reverse=True)
+            found = [m.span() for m in re.finditer(b"|".join(map(re.escape, strings)), data.tobytes())]
+        if not found:
+            return self.encode(data, off)
+        a, b = np.array(found, np.int64).T
+        inside = np.searchsorted(off, a, "right") == np.searchsorted(off, b - 1, "right")  # not across two texts
+        a, b = a[inside], b[inside]
+        # Texts and strings cut the bytes into parts; the strings' parts are emptied, then take their one id.
+        edge = np.concatenate([off, a, b])
+        kind = np.concatenate([np.zeros(len(off), np.int64), np.full(len(a), 2), np.ones(len(b), np.int64)])
+        order = np.lexsort((kind, edge))
+        edge, starts = edge[order], kind[order] == 2
+        left = np.ones(len(data), bool)
+        left[scan.ragged(a, b - a)] = False
+        ids, at = self.encode(data[left], np.concatenate([[0], np.cumsum(left)])[edge])
+        before = np.concatenate([[0], np.cumsum(starts)])[:-1]  # strings that start before each edge
+        own = np.array([special[data[i:j].tobytes().decode()] for i, j in zip(a.tolist(), b.tolist(), strict=True)], ids.dtype)
+        texts = np.flatnonzero(kind[order] == 0)
+        return np.insert(ids, at[starts], own), at[texts] + before[texts]
+
     def decode(self, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids' bytes one text after another, and n+1 offsets."""
         long = self.token_len[ids]
@@ -329,6 +355,12 @@ def worker(path: str) -> Bpe:
     return Bpe(path)
 
 
+def special_tokens(path: str) -> dict[str, int]:
+    """Strings that a tokenizer's file gives ids of their own."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 def list_of(values: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values))
 

@@ -8,7 +8,7 @@ per partition), so only as many of the emptiest are carried; the others are fina
 
 Defined results: a null or empty text is one piece with the end id alone; a text of n ids over the capacity is cut
 into full pieces, and the first piece takes n modulo the capacity; repeated rows are packed each for itself; an
-empty table gives an empty table. Extra columns pass through.
+empty table gives an empty table. `<|endoftext|>` in a text is its one special id, as the tokenizer's file has it. Extra columns pass through.
 """
 
 from __future__ import annotations
@@ -65,41 +65,39 @@ def number(level: int, partition: int, bins: np.ndarray) -> np.ndarray:
     return bins | (level << 56 | partition << 30)
 
 
-def cut(n: int, capacity: int) -> list[tuple[int, int]]:
-    """Start and length of the pieces of n ids."""
-    first = (n - 1) % capacity + 1
-    return [(0, first)] + [(at, capacity) for at in range(first, n, capacity)]
-
-
-def token_pieces(batches: Iterator[pa.RecordBatch], text: str, path: str, capacity: int, end: int, with_ids: bool, names: list[str]) -> Iterator[pa.RecordBatch]:
+def token_pieces(batches: Iterator[pa.RecordBatch], text: str, path: str, capacity: int, end: int, with_ids: bool, names: list[str], special: dict[str, int]) -> Iterator[pa.RecordBatch]:
     coder = bpe.worker(path)
     for batch, data, off in common.chunks(batches, text):
-        ids, at = coder.encode(data, off)
+        ids, at = coder.encode_special(data, off, special)
         n = len(off) - 1
         flat = np.insert(ids, at[1:], end).astype("<u4")
         at = at + np.arange(n + 1)
-        rows, piece, start, length, crc, parts = [], [], [], [], [], []
-        for d in range(n):
-            for k, (s, size) in enumerate(cut(int(at[d + 1] - at[d]), capacity)):
-                rows.append(d)
-                piece.append(k)
-                start.append(s)
-                length.append(size)
-                own = flat[at[d] + s : at[d] + s + size]
-                crc.append(zlib.crc32(own.tobytes()))
-                parts.append(own)
+        # The first piece takes what full ones leave.
+        size = np.diff(at)
+        many, first = -(-size // capacity), (size - 1) % capacity + 1
+        rows = np.repeat(np.arange(n), many)
+        piece = np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many)
+        start = np.where(piece > 0, first[rows] + (piece - 1) * capacity, 0)
+        length = np.where(piece > 0, capacity, first[rows])
+        edge = np.concatenate([[0], np.cumsum(length)])
+        raw = memoryview(flat).cast("B")
+        crc = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
         kept = batch.select([c for c in batch.schema.names if c != text]).take(pa.array(rows, pa.int64()))
         more = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
         if with_ids:
-            more.append(bpe.list_of(np.concatenate(parts).astype(np.int32), np.concatenate([[0], np.cumsum(length)])))
+            more.append(bpe.list_of(flat.astype(np.int32), edge))
         yield pa.RecordBatch.from_arrays([*kept.columns, *more], names=[*kept.schema.names, *names])
 
 
-def pack_texts(df: DataFrame, text: str = "text", capacity: int = 1024, end: int = 2, path: str | None = None, with_ids: bool = False, slack: int = SLACK) -> DataFrame:
-    """One row per piece: df's columns but the text, piece, start, length, ids_crc32, sequence_id, offset (and ids)."""
+def pack_texts(df: DataFrame, text: str = "text", capacity: int = 1024, end: int = 2, path: str | None = None, with_ids: bool = False, slack: int = SLACK, special: dict[str, int] | None = None) -> DataFrame:
+    """One row per piece: df's columns but the text, piece, start, length, ids_crc32, sequence_id, offset (and ids).
+
+    special: strings with ids of their own, as the public tokenizer finds them in texts.
+    """
     spark = df.sparkSession
     common.ship(spark)
     path = path or common.workers_path("byte_bpe_50k.tiktoken")
+    special = bpe.special_tokens(common.workers_path("byte_bpe_50k.json")) if special is None else special
     kept = df.select(*[c for c in df.columns if c != text], text)
     rest = kept.drop(text)
     names = []
@@ -109,7 +107,7 @@ def pack_texts(df: DataFrame, text: str = "text", capacity: int = 1024, end: int
     length, partitions = names[2], max(1, kept.rdd.getNumPartitions())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = list(token_pieces(batches, text, path, capacity, end, with_ids, names[:-3]))
+        found = list(token_pieces(batches, text, path, capacity, end, with_ids, names[:-3], special))
         if not found:
             return
         sizes = np.concatenate([b.column(b.schema.get_field_index(length)).to_numpy() for b in found])
