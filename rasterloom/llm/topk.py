@@ -12,8 +12,10 @@ Every index block returns each query's k best; the k best of those are the resul
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part; a shorter vector
 counts as zero beyond its end; a row isn't its own candidate, but rows with the same id are no candidates of each
-other either; ties go to the smaller id; rows of equal id and score are kept once each. Components are clipped to
-+-2**31 after scaling.
+other either; ties go to the smaller id; rows of equal id and score are kept once each; an empty table gives an empty
+table. Other columns than id and vector, whatever their names, take no part and aren't returned. Where scores of a
+block might not fit 62 bits, they are computed in integers of any size; one among a block's k best that fits no long is an
+error.
 """
 
 from __future__ import annotations
@@ -31,11 +33,15 @@ FULL = np.uint64(2**64 - 1)
 
 
 def quantised(vectors: pa.Array, scale: float) -> np.ndarray:
-    """Integer rows, padded with zeros to the longest."""
+    """Rows of whole numbers, padded with zeros to the longest: int64, or Python integers where a component has over 40 bits."""
     size = np.array(vectors.value_lengths().to_pylist(), np.int64)
     flat = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), np.float64)
-    out = np.zeros((len(size), int(size.max(initial=0))), np.int64)
-    out[np.arange(out.shape[1]) < size[:, None]] = np.clip(np.floor(scale * flat), -(2**31), 2**31).astype(np.int64)
+    flat = np.floor(scale * flat)
+    wide = bool((np.abs(flat) >= 2.0**40).any())
+    out = np.zeros((len(size), int(size.max(initial=0))), object if wide else np.int64)
+    if not np.isfinite(flat).all():
+        raise OverflowError("a scaled component is beyond the range of doubles")
+    out[np.arange(out.shape[1]) < size[:, None]] = [int(x) for x in flat.tolist()] if wide else flat.astype(np.int64)
     return out
 
 
@@ -72,6 +78,10 @@ class Block:
 
     def __init__(self, ids: np.ndarray, values: np.ndarray, bits: int = 6):
         self.ids, self.values, self.n = ids, values, len(ids)
+        self.most = max((abs(int(x)) for x in (values.min(), values.max())), default=0) if values.size else 0
+        self.plain = values.dtype != object
+        if not self.plain:  # no slices: every row's score is computed
+            return
         self.low = values.min(0) if values.size else np.zeros(values.shape[1], np.int64)
         span = int((values - self.low).max(initial=0)).bit_length()
         self.cut = max(0, span - bits)  # bits left to the exact step
@@ -128,11 +138,18 @@ class Block:
         same = int((self.ids == query_id).sum())
         wide = self.values.shape[1]
         query = np.pad(query[:wide], (0, max(0, wide - len(query))))
-        rows = self.candidates(query, k + same) if self.n > 4 * (k + same) else np.arange(self.n)
+        fits = self.plain and query.dtype != object and self.most * max((abs(int(x)) for x in query), default=0) * max(1, wide) < 2**62
+        rows = self.candidates(query, k + same) if fits and self.n > 4 * (k + same) else np.arange(self.n)
         rows = rows[self.ids[rows] != query_id]
-        score = self.values[rows] @ query
-        order = np.lexsort((self.ids[rows], -score))[:k]
-        return self.ids[rows][order], score[order]
+        if fits:
+            score = self.values[rows] @ query
+            order = np.lexsort((self.ids[rows], -score))[:k]
+            return self.ids[rows][order], score[order]
+        score = (self.values[rows].astype(object) * query.astype(object)).sum(1).tolist() if len(rows) else []
+        best = sorted(zip([-s for s in score], self.ids[rows].tolist(), strict=True))[:k]
+        if any(not -(2**63) <= -s < 2**63 for s, _ in best):
+            raise OverflowError(f"a score of query {query_id} fits no long")
+        return np.array([i for _, i in best], np.int64), np.array([-s for s, _ in best], np.int64)
 
 
 def usable(vector: str) -> Column:
