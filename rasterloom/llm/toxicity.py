@@ -7,9 +7,11 @@ tokens. The field learns emissions and transitions from them by gradient steps o
 Forward-backward runs over all tokens of a chunk at once, as a blocked scan of 2x2 matrices that restarts at every
 text. Documents are scored by a logistic regression on their marginals; tokens over half are the offending spans.
 
-Fitted on a bounded sample (`most` documents a class), weighted in the regression for all labelled documents. Defined results: null and empty texts have no tokens and
-the score of such; equal texts have equal scores; without labels of both kinds every score is 0. Extra columns
-pass through. Offsets count code points.
+Fitted on a bounded sample (`most` documents a class), weighted in the regression for all labelled documents.
+
+Defined results: null and empty texts have no tokens and the score of such; equal texts have equal scores; without
+labels of both kinds every score is 0: no document is held to be toxic without evidence. An empty table gives an empty
+table. Extra columns pass through; a result's name that the table uses takes an underscore. Offsets count code points.
 """
 
 from __future__ import annotations
@@ -113,6 +115,14 @@ class Field:
         return 1 / (1 + np.exp(-np.clip(x @ self.document[:-1] + self.document[-1], -30, 30)))
 
 
+def chain_gradient(p: np.ndarray, pair: np.ndarray, truth: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slope of the conditional log-likelihood in the log potentials of transitions (2, 2) and starts: labelled less expected counts."""
+    follows = np.flatnonzero(~begins)
+    told = np.bincount((truth[follows - 1] * 2 + truth[follows]).astype(np.int64), minlength=4)
+    start, t = p[begins], truth[begins]
+    return (told - pair[follows].sum(0)).reshape(2, 2), np.array([(start - t).sum(), (t - start).sum()])
+
+
 def _begins(first: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(n + 1, bool)
     out[first] = True
@@ -182,7 +192,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 30
     usual = plain + np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS) >= FEW
     seed[chosen] = True
     field = Field(np.zeros(1 << BITS), -4.0, np.array([[0.9, 0.1], [0.5, 0.5]]), np.array([0.9, 0.1]), np.zeros(4))
-    squares, counts, starts_seen = np.full(1 << BITS, 1e-2), np.ones((2, 2)), np.ones(2)
+    squares, chain_squares = np.full(1 << BITS, 1e-2), np.full(6, 1.0)
+    chain = np.log(np.concatenate([field.transition.ravel(), field.start]))  # potentials of the chain, as logarithms
     seen = [(own, *token_features(data, off)[2:]) for data, off, own in parts]
     # A small sample is one part: it takes more rounds to as many steps.
     for r in range(max(rounds, -(-steps // max(1, len(seen))))):
@@ -190,11 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 30
             begins = _begins(first, len(f))
             doc = np.repeat(np.arange(len(own)), np.diff(first))
             truth = (seed[f].any(1) & (own[doc] == 1)).astype(float)
-            if r == 0:
-                counts += np.bincount((truth[:-1] * 2 + truth[1:]).astype(int)[~begins[1:]], minlength=4).reshape(2, 2) if len(truth) > 1 else 0
-                starts_seen += np.bincount(truth[begins].astype(int), minlength=2)
             emission = field.weights[f].sum(1) + field.bias
-            p = marginals(emission, begins, field.transition, field.start)[0]
+            p, pair = marginals(emission, begins, field.transition, field.start)
             error = truth - p
             # Balanced steps: toxic tokens are rare.
             g = np.bincount(f.ravel(), np.repeat(error, f.shape[1]), 1 << BITS) - 1e-3 * field.weights
@@ -202,10 +210,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 30
             g *= usual
             squares += g * g
             field.weights += 0.5 * g / np.sqrt(squares)
-        if r == 0:
-            # The chain's part of the likelihood is at its maximum where expected and labelled transitions agree.
-            field.transition = counts / counts.sum(1, keepdims=True)
-            field.start = starts_seen / starts_seen.sum()
+            own = np.concatenate([c.ravel() for c in chain_gradient(p, pair, truth, begins)]) - 1e-3 * chain
+            chain_squares += own * own
+            chain += 0.2 * own / np.sqrt(chain_squares)
+            field.transition, field.start = np.exp(chain[:4]).reshape(2, 2), np.exp(chain[4:])
     x = []
     for data, off, _ in parts:
         _, _, first, p = field.tag(data, off)
