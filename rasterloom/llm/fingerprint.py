@@ -12,7 +12,8 @@ place in the run is the occurrence. Every step is a linear pass or a sort of one
 
 Defined results: a null text is an empty text; a text without units has an empty fingerprint, alike (1.0) to an
 empty one and to no other (0.0); equal texts have equal fingerprints; with fewer than k units the whole sequence is
-the one k-mer; places beyond 2**22 count as 2**22. Extra columns pass through.
+the one k-mer; an empty table gives an empty table. `signatures` passes extra columns through, `edited_likeness` takes
+and returns its own columns alone.
 """
 
 from __future__ import annotations
@@ -22,15 +23,16 @@ from pyspark.sql import functions as F
 
 from . import common
 
-PLACE = 22  # low bits of an entry: the place in the text
+PLACE = 31  # low bits of an entry: the place in the text, as far as a string can reach
+RANGE_MB = 64  # megabytes of text in a range of keys at most
 WORDS = r"[ \t\n\x0B\f\r]+"
 
 
 def _kmers(units: Column, k: int) -> Column:
-    """(42-bit hash << 22 | place) of every k-mer. Types without nulls let Spark sort them as primitives."""
+    """(33-bit hash << 31 | place) of every k-mer. Types without nulls let Spark sort them as primitives."""
     n = F.size(units)
     run = lambda i: F.xxhash64(*[F.get(units, i + j) for j in range(k)])
-    entry = lambda i: F.coalesce(F.shiftleft(run(i), PLACE).bitwiseOR(F.least(i, F.lit((1 << PLACE) - 1)).cast("long")), F.lit(0).cast("long"))
+    entry = lambda i: F.coalesce(F.shiftleft(run(i), PLACE).bitwiseOR(i.cast("long")), F.lit(0).cast("long"))
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - F.lit(k), F.lit(0))), entry)).otherwise(_none())
 
 
@@ -46,7 +48,7 @@ def _differs(a: Column, b: Column, low: int) -> Column:
 def _later(entries: Column, starts: Column) -> Column:
     """Entries of the second and later occurrences, each with a hash of its own."""
     follow = lambda j: F.coalesce(F.get(starts, j + 1), F.size(entries))
-    low = F.lit((1 << PLACE) - 1)
+    low = F.lit((1 << PLACE) - 1).cast("long")
     entry = lambda x, o: F.shiftleft(F.xxhash64(F.shiftright(x, PLACE), o), PLACE).bitwiseOR(x.bitwiseAND(low))
     runs = F.transform(starts, lambda s, j: F.when(follow(j) - s > 1, F.transform(F.slice(entries, s + 2, follow(j) - s - 1), entry)).otherwise(_none()))
     return F.coalesce(F.flatten(runs), _none())
@@ -54,7 +56,7 @@ def _later(entries: Column, starts: Column) -> Column:
 
 def _tuples(entries: Column, firsts: Column, bits: int) -> Column:
     """For each bucket a 32-bit integer: the bucket on top, then the hash of its two least k-mers in text order."""
-    place = lambda x: x.bitwiseAND(F.lit((1 << PLACE) - 1))
+    place = lambda x: x.bitwiseAND(F.lit((1 << PLACE) - 1).cast("long"))
     kmer = lambda x: F.shiftright(x, PLACE)
 
     def code(i: Column) -> Column:
@@ -107,7 +109,18 @@ def likeness(a: str, b: str, sketches: int = 64) -> Column:
     return F.when(chars, share(f"{a}_c", f"{b}_c")).when(words, share(f"{a}_w", f"{b}_w")).when(none, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
-def with_next(df: DataFrame, key: str, value: Column, name: str, tie: Column, buckets: int | None = None) -> DataFrame:
+def _numbers(values: list[int]) -> Column:
+    """An array of integers as one folded literal; a column a number would be slow to plan."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _below(edges: Column, many: int, key: Column) -> Column:
+    """How many of the sorted edges are less than the key, by binary search."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, many.bit_length())))])
+    return F.aggregate(steps, F.lit(0), lambda p, s: F.when((p + s <= many) & (F.get(edges, p + s - 1) < key), p + s).otherwise(p))
+
+
+def with_next(df: DataFrame, key: str, value: Column, name: str, tie: Column, buckets: int, partitions: int) -> DataFrame:
     """df (distinct column names) with the value of the next row in descending key order; after the last comes the first.
 
     Keys are cut into ranges by their quantiles; a range's rows meet in one task of a single shuffle. A range's
@@ -115,23 +128,28 @@ def with_next(df: DataFrame, key: str, value: Column, name: str, tie: Column, bu
     needed. What the driver sees is one key per range. Rows of one key (or none: they come last) are ordered by
     `tie`.
     """
-    buckets = buckets or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = df.select(F.percentile_approx(F.col(key), [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0]
-    edges = F.array(*[F.lit(e) for e in sorted(set(found or []))]).cast("array<bigint>")
+    found = df.select(F.percentile_approx(F.col(key), [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0] if buckets > 1 else []
+    edges = sorted(set(found or []))
+    own = F.coalesce(_below(_numbers(edges), len(edges), F.col(key)), F.lit(0)) if edges else F.lit(0)
     # A null key comes after all others.
-    own = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.size(F.filter(edges, lambda e: F.col(key) > e)))
+    own = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(own)
     tops = {r.b: r.k for r in df.groupBy(own.alias("b")).agg(F.max(key).alias("k")).collect()}
     if not tops:
         return df.withColumn(name, F.when(F.lit(False), value))
     have = sorted(tops)
-    above = F.create_map(*[F.lit(x) for low, high in zip(have, have[1:] + have[:1], strict=True) for x in (low, high)])
-    first = F.col(key).isNull() | F.array_contains(F.array(*[F.lit(tops[b]) for b in have]).cast("array<bigint>"), F.col(key))
-    b, copy, place = (common.free_name(df, c) for c in ("bucket", "copy", "place"))
+    above = dict(zip(have, have[1:] + have[:1], strict=True))
+    # By place: range -1 first. A range without rows is never asked for.
+    places = range(-1, len(edges) + 1)
+    b, copy, place, at_ = (common.free_name(df, c) for c in ("bucket", "copy", "place", "range"))
+    df_ = df.withColumn(at_, own)
+    here = F.col(at_) + 1
+    top, up = F.get(_numbers([tops.get(p) or 0 for p in places]), here), F.get(_numbers([above.get(p, 0) for p in places]), here)
+    first = F.col(key).isNull() | (F.col(key) == top)
     entry = lambda at, is_copy: F.struct(at.cast("int").alias("b"), F.lit(is_copy).alias("c"))
-    at = df.withColumn(place, F.explode(F.when(first, F.array(entry(own, False), entry(above[own], True))).otherwise(F.array(entry(own, False)))))
-    at = at.withColumn(b, F.col(f"{place}.b")).withColumn(copy, F.col(f"{place}.c")).drop(place)
+    at = df_.withColumn(place, F.explode(F.when(first, F.array(entry(F.col(at_), False), entry(up, True))).otherwise(F.array(entry(F.col(at_), False)))))
+    at = at.withColumn(b, F.col(f"{place}.b")).withColumn(copy, F.col(f"{place}.c")).drop(place, at_)
     order = Window.partitionBy(b).orderBy(F.col(copy), F.col(key).desc_nulls_last(), tie)
-    return at.withColumn(name, F.lead(value).over(order)).where(~F.col(copy)).drop(b, copy)
+    return at.repartition(partitions, b).withColumn(name, F.lead(value).over(order)).where(~F.col(copy)).drop(b, copy)
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
@@ -139,8 +157,12 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
 
     A text's signature is made before the one shuffle and travels along with it, so the next document's is at hand.
     """
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = signatures(docs, F.col("text"), "own").withColumn("n_chars", F.char_length("text").cast("long"))
-    pairs = with_next(base, "doc_id", F.struct("text", "own_w", "own_c"), "then", F.xxhash64("text"))
+    size = int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (RANGE_MB << 20) + 1)
+    # Several ranges a task even out what hashing their numbers to tasks makes uneven.
+    pairs = with_next(base, "doc_id", F.struct("text", "own_w", "own_c"), "then", F.xxhash64("text"), 8 * partitions, partitions)
     half = F.floor(F.col("n_chars") / 2).cast("int")
     # Without a next document (a table of one row) the document follows itself.
     then = lambda c: F.coalesce(F.col(f"then.{c}"), F.col(c))

@@ -15,7 +15,7 @@ from rasterloom.llm import bpe, fingerprint, langid, neardup, packing, quality,
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, ids string, kept string"
 LONG = "lorem ipsum dolor " * 20_000
-ODD = ["", None, " ", "a", "I'll don't  x\n\n y", "Ünï çødé 中文 \U0001f600", "x" * 3000, LONG, "same text here", "same text here", "\x00\x1c\x85", "12 34, 56!"]
+ODD = ["", None, " ", "a", "I'll don't  x\n\n y", "Ünï çødé 中文 \U0001f600", "x" * 3000, LONG, "same text here", "same text here", "\x00\x1c\x85", "12 34, 56!", "a<|endoftext|>b", "<|endoftext|><|endoftext|> <|endof", "text|> c"]
 
 
 @pytest.fixture(scope="module")
@@ -66,7 +66,6 @@ def test_packing(spark, odd, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     texts = {r.doc_id: r.text or "" for r in documents(spark).collect()}
     rows = queries.op8_packing(spark, SF).collect()
     by_doc, by_bin = collections.defaultdict(list), collections.defaultdict(list)
@@ -89,7 +88,14 @@ def test_packing(spark, odd, empty):
             at += r.length
         assert at <= 1024
     assert len(by_bin) <= -(-sum(r.length for r in rows) // 1024) * 1.03 + 1
-    assert packing.pack_texts(odd).groupBy("doc_id").count().count() == len(ODD) + 1
+    rows = collections.Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in packing.pack_texts(odd).collect())
+    want = collections.Counter()
+    for r in odd.collect():
+        ids = [*t.encode(r.text or "", add_special_tokens=False).ids, 2]
+        head = (len(ids) - 1) % 1024 + 1
+        for i, (a, b) in enumerate([(0, head), *((x, x + 1024) for x in range(head, len(ids), 1024))]):
+            want[r.doc_id, i, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())] += 1
+    assert rows == want
     assert packing.pack_texts(empty).count() == 0
 
 
@@ -147,6 +153,20 @@ def test_topk(spark):
     assert topk.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_topk_of_large_components(spark):
+    rng = np.random.default_rng(4)
+    vec = [(i, [float(x) for x in rng.normal(0, 4e5 if i % 3 else 1e12, 64)]) for i in range(250)]
+    df = spark.createDataFrame(vec, "vec_id bigint, embedding array<double>")
+    want = {i: [int(np.floor(1024 * x)) for x in v] for i, v in vec}
+    small = df.where("vec_id % 3 > 0")
+    got = {(r.query_id, r.rank): (r.score, r.vec_id) for r in topk.search(small, small.where("vec_id % 50 = 1"), k=4).collect()}
+    for q in (i for i in want if i % 3 and i % 50 == 1):
+        best = sorted((-sum(a * b for a, b in zip(want[q], v, strict=True)), i) for i, v in want.items() if i != q and i % 3)[:4]
+        assert [got[q, k + 1] for k in range(4)] == [(-s, i) for s, i in best]
+    with pytest.raises(Exception, match="fits no long"):
+        topk.search(df, df.where("vec_id = 0"), k=4).collect()
+
+
 def _sets(docs, k):
     out = {}
     for r in docs:
@@ -327,6 +347,34 @@ def test_fingerprints(spark, empty):
     assert all(len(s) == 1 for s in same.values())
 
 
+def test_fingerprint_keeps_text_order(spark):
+    """Selections by brute force over (hash, place), from Spark's own hash of each k-mer; no place is too far."""
+    words = [f"u{i % 61}" for i in range(3000)]
+    df = spark.createDataFrame([(0, " ".join(words))], "doc_id bigint, text string")
+    got = fingerprint.signatures(df, F.col("text"), "f").first().f_w
+    hash_ = lambda rows, kind: [r.h for r in spark.createDataFrame(rows, kind).select(F.xxhash64("*").alias("h")).collect()]
+    low = lambda h, bits: (h & (1 << 64) - 1) >> (64 - bits)
+    signed = lambda h: h - (1 << 33) if h >= 1 << 32 else h
+    mers = hash_([(words[i], words[i + 1]) for i in range(len(words) - 1)], "a string, b string")
+    # The entry keeps the hash's low 33 bits, as a signed integer.
+    mers = [signed(h & (1 << 33) - 1) for h in mers]
+    seen, again = collections.Counter(), []
+    for i, h in enumerate(mers):
+        again.append((i, h, seen[h]))
+        seen[h] += 1
+    later = [(i, h, o) for i, h, o in again if o]
+    more = hash_([(h, o - 1) for _, h, o in later], "h bigint, o int")
+    entries = [(h, i) for i, h, o in again if not o] + [(signed(m & (1 << 33) - 1), i) for (i, _, _), m in zip(later, more, strict=True)]
+    want = []
+    for b in range(64):
+        own = sorted((h, i) for h, i in entries if (h & (1 << 33) - 1) >> 27 == b)[:2]
+        if own:
+            own.sort(key=lambda x: x[1])
+            tuple_ = hash_([tuple(h for h, _ in own)], ", ".join(f"h{j} bigint" for j in range(len(own))))[0]
+            want.append(b << 26 | low(tuple_, 26))
+    assert sorted(got) == sorted(want)
+
+
 def test_fingerprint_odd_rows(spark):
     odd = spark.createDataFrame([(i, t or "") for i, t in enumerate(ODD)] + [(None, "no id"), (3, "a")], "doc_id bigint, text string")
     assert fingerprint.edited_likeness(odd).count() == len(ODD) + 2
@@ -361,6 +409,24 @@ def test_marginals_equal_enumeration():
     assert np.allclose(p[:3], one / total) and np.isclose(p[3], 0.4 * np.exp(0.1) / (0.6 + 0.4 * np.exp(0.1)))
 
 
+def test_chain_gradient_equals_numeric_slope():
+    rng = np.random.default_rng(3)
+    e, begins, truth = rng.normal(size=7), np.array([1, 0, 0, 1, 0, 0, 0], bool), np.array([0.0, 1, 1, 0, 0, 1, 0])
+
+    def likelihood(chain):
+        t, s, total = chain[:4].reshape(2, 2), chain[4:], 0.0
+        for a, b in ((0, 3), (3, 7)):
+            weight = lambda y, a=a, b=b: s[int(y[0])] + sum(t[int(u), int(v)] for u, v in zip(y, y[1:], strict=False)) + float(np.dot(e[a:b], y))
+            total += weight(truth[a:b]) - np.log(sum(np.exp(weight(y)) for y in np.ndindex(*[2] * (b - a))))
+        return total
+
+    chain = rng.normal(size=6)
+    p, pair = toxicity.marginals(e, begins, np.exp(chain[:4]).reshape(2, 2), np.exp(chain[4:]))
+    own = np.concatenate([g.ravel() for g in toxicity.chain_gradient(p, pair, truth, begins)])
+    slope = [(likelihood(chain + d) - likelihood(chain - d)) / 2e-5 for d in 1e-5 * np.eye(6)]
+    assert np.allclose(own, slope, atol=1e-6)
+
+
 def test_quality_held_out(spark, odd, empty):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")
