@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.images import spread
@@ -28,24 +28,57 @@ def img8(spark: SparkSession, d: str) -> DataFrame:
     return e.select("img_id", F.expr("i div 8").cast("int").alias("y"), (F.col("i") % 8).cast("int").alias("x"), F.lit(0).alias("c"), _grey_level(F.col("e")).alias("v"))
 
 
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    """(vec_id, v): the grey levels of an embedding's image as an array."""
+    return table(spark, d, "embeddings").select("vec_id", F.transform("embedding", _grey_level).alias("v"))
+
+
+def _at(rows: DataFrame, e: Column) -> DataFrame:
+    """(img_id, y, x, e) of rows that hold an array of structs, one a pixel of an 8x8 image."""
+    at = rows.select("img_id", F.posexplode(e).alias("i", "e"))
+    return at.select("img_id", F.expr("i div 8").cast("int").alias("y"), (F.col("i") % 8).cast("int").alias("x"), "e")
+
+
+def _triples(spark: SparkSession, d: str) -> DataFrame:
+    """(img_id, r, g, b): three embeddings' arrays side by side; an incomplete last one is left out. Whole arrays are shuffled, not pixels."""
+    part = lambda k: F.max(F.when(F.col("vec_id") % 3 == k, F.col("v")))
+    whole = _levels(spark, d).groupBy(F.expr("vec_id div 3").alias("img_id")).agg(F.count("*").alias("n"), *[part(k).alias(c) for k, c in enumerate("rgb")])
+    return whole.where("n = 3").drop("n")
+
+
+def rgb(spark: SparkSession, d: str) -> DataFrame:
+    """(img_id, y, x, r, g, b)."""
+    return _at(_triples(spark, d), F.arrays_zip("r", "g", "b")).select("img_id", "y", "x", "e.r", "e.g", "e.b")
+
+
 def rgb8(spark: SparkSession, d: str) -> DataFrame:
-    """Three embeddings make a colour image; an incomplete last one is left out."""
-    whole = table(spark, d, "embeddings").groupBy(F.expr("vec_id div 3").alias("img_id")).count().where("count = 3").select("img_id")
-    return img8(spark, d).select(F.expr("img_id div 3").alias("img_id"), "y", "x", (F.col("img_id") % 3).cast("int").alias("c"), "v").join(whole, "img_id", "left_semi")
+    """(img_id, y, x, c, v) of the colour images."""
+    e = F.explode(F.array(*[F.struct(F.lit(k).alias("c"), F.col(c).alias("v")) for k, c in enumerate("rgb")]))
+    return rgb(spark, d).select("img_id", "y", "x", e.alias("e")).select("img_id", "y", "x", "e.c", "e.v")
+
+
+def rgb_images(spark: SparkSession, d: str) -> DataFrame:
+    """The colour images as image rows."""
+    two = lambda e: F.lpad(F.hex(e), 2, "0")
+    data = F.unhex(F.array_join(F.transform(F.arrays_zip("r", "g", "b"), lambda e: F.concat(two(e.r), two(e.g), two(e.b))), ""))
+    size = [F.lit(n).alias(m) for n, m in ((8, "height"), (8, "width"), (3, "channels"))]
+    return _triples(spark, d).select("img_id", *size, data.alias("data"))
 
 
 def pair8(spark: SparkSession, d: str) -> DataFrame:
-    p = img8(spark, d)
-    half = lambda k, n: p.where(f"img_id % 2 = {k}").select(F.expr("img_id div 2").alias("img_id"), "y", "x", "c", F.col("v").alias(n))
-    return half(0, "a").join(half(1, "b"), ["img_id", "y", "x", "c"])
+    """(img_id, y, x, c, a, b): two embeddings' arrays side by side. Whole arrays are joined, not pixels."""
+    half = lambda k, n: _levels(spark, d).where(f"vec_id % 2 = {k}").select(F.expr("vec_id div 2").alias("img_id"), F.col("v").alias(n))
+    both = half(0, "a").join(half(1, "b"), "img_id")
+    return _at(both, F.arrays_zip("a", "b")).select("img_id", "y", "x", F.lit(0).alias("c"), "e.a", "e.b")
 
 
 def page_images(spark: SparkSession, d: str) -> DataFrame:
-    """A grey image 64 wide and up to 64 high per page, from its characters, as image rows."""
-    n = F.least(F.lit(4096), F.expr("(length(html) div 64) * 64")).cast("int")
-    codes = F.transform(F.split(F.substring("html", 1, 4096), ""), lambda ch: F.lpad(F.hex(F.ascii(ch) % 256), 2, "0"))
-    data = F.unhex(F.array_join(F.slice(codes, F.lit(1), n), ""))
-    return spread(table(spark, d, "pages").where("length(html) >= 64")).select(F.col("page_id").alias("img_id"), (n / 64).cast("int").alias("height"), F.lit(64).alias("width"), F.lit(1).alias("channels"), data.alias("data"))
+    """A grey image 64 wide per page, of all its characters, as image rows; the last row is filled up with zeros, and an empty page is one row of them."""
+    html = F.coalesce("html", F.lit(""))
+    rows = F.greatest(F.ceil(F.length(html) / 64).cast("int"), F.lit(1))
+    codes = F.transform(F.filter(F.split(html, ""), lambda ch: ch != ""), lambda ch: F.lpad(F.hex(F.ascii(ch) % 256), 2, "0"))
+    data = F.unhex(F.rpad(F.array_join(codes, ""), rows * 128, F.lit("0")))
+    return spread(table(spark, d, "pages")).select(F.col("page_id").alias("img_id"), rows.alias("height"), F.lit(64).alias("width"), F.lit(1).alias("channels"), data.alias("data"))
 
 
 def pts(spark: SparkSession, d: str) -> DataFrame:

@@ -871,11 +871,11 @@ def apply_warp(a, inv_matrix, out_w, out_h):
 
 
 def invert_affine_transform(M):
-    (a, b, tx), (c, d, ty) = np.asarray(M, float)
-    det = a * d - b * c
-    if abs(det) < 1e-9:
+    m = np.asarray(M, float)
+    if abs(np.linalg.det(m[:, :2])) < 1e-9:
         raise ValueError("the matrix is singular")
-    return np.array([[d / det, -b / det, (b * ty - d * tx) / det], [-c / det, a / det, (c * tx - a * ty) / det]])
+    back = np.linalg.inv(m[:, :2])
+    return np.column_stack([back, -back @ m[:, 2]])
 
 
 @stacked

@@ -114,8 +114,8 @@ def _bits(flags):
     return np.packbits(flags, bitorder="little")
 
 
-def orb_detect_and_compute(image, max_features=500, threshold=20, border=22):
-    """FAST corners with a centroid angle and 256 rotated comparisons. The border keeps rotated offsets inside."""
+def orb_detect_and_compute(image, max_features=500, threshold=20, border=16):
+    """FAST corners with a centroid angle and 256 rotated comparisons; a corner whose own rotated offsets leave the image is left out."""
     a, pairs, points, rows = grey(image), brief_pairs(), [], []
     h, w = a.shape
     for p in _by_response(fast_detect(a, threshold)):
@@ -125,6 +125,8 @@ def orb_detect_and_compute(image, max_features=500, threshold=20, border=22):
         t = _centroid_angle(a, x, y)
         c, s = np.cos(t), np.sin(t)
         u, v = (half_away(pairs[..., 0] * i + pairs[..., 1] * j).astype(int) for i, j in ((c, -s), (s, c)))
+        if (y + v).min() < 0 or (x + u).min() < 0 or (y + v).max() >= h or (x + u).max() >= w:
+            continue
         values = a[y + v, x + u]
         points.append(replace(p, angle=float(np.degrees(t))))
         rows.append(_bits(values[:, 0] < values[:, 1]))

@@ -1,13 +1,16 @@
 """Operators as plans over pixel relations: expressions, aggregates, windows and joins that Catalyst optimises.
 
 px is (img_id, y, x, c, v); colours is (img_id, y, x, r, g, b); pairs is (img_id, y, x, c, a, b). Everything here
-stays in the JVM. Values follow the kernels' rules: clamp then truncate, or round half away, as named.
+stays in the JVM, but for matching (vectorised blocks). Values follow the kernels' rules: clamp then truncate, or round half away, as named.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +73,11 @@ PAIR = {
     "polar_to_cart": lambda a, b: a * F.cos(F.radians(b.cast("double"))),
 }
 PAIR["cart_to_polar"] = PAIR["calculate_magnitude"]
+#: Operators of two results: both, as channels 0 and 1.
+TWO = {
+    "cart_to_polar": (PAIR["calculate_magnitude"], PAIR["calculate_phase"]),
+    "polar_to_cart": (PAIR["polar_to_cart"], lambda a, b: a * F.sin(F.radians(b.cast("double")))),
+}
 
 
 def pair_up(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -81,6 +89,26 @@ def apply_pair(pairs: DataFrame, name: str, *params: float) -> DataFrame:
     return point(pairs, PAIR[name](F.col("a"), F.col("b"), *params))
 
 
+def apply_two(pairs: DataFrame, name: str) -> DataFrame:
+    """Both results of an operator that gives two images, as channels 0 and 1."""
+    e = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), f(F.col("a"), F.col("b")).alias("v")) for i, f in enumerate(TWO[name])]))
+    return pairs.select("img_id", "y", "x", e.alias("e")).select("img_id", "y", "x", "e.c", "e.v")
+
+
+def split(px: DataFrame) -> DataFrame:
+    """Every channel as an image of its own: (img_id, plane, y, x, c = 0, v)."""
+    return px.select("img_id", F.col("c").alias("plane"), "y", "x", F.lit(0).alias("c"), "v")
+
+
+def merge(*planes: DataFrame) -> DataFrame:
+    """One-channel relations as the channels of one, in the order given."""
+    out = None
+    for i, p in enumerate(planes):
+        own = p.select("img_id", "y", "x", F.lit(i).alias("c"), "v")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def colours(px: DataFrame) -> DataFrame:
     """Three channels side by side: one partial aggregate a pixel."""
     return px.groupBy("img_id", "y", "x").agg(*[F.max(F.when(F.col("c") == i, F.col("v"))).alias(n) for i, n in enumerate("rgb")])
@@ -223,12 +251,16 @@ def min_max_loc(px: DataFrame) -> DataFrame:
     return s.select("img_id", "min_v", "max_v", F.col("a.x").alias("min_x"), F.col("a.y").alias("min_y"), F.col("b.x").alias("max_x"), F.col("b.y").alias("max_y"))
 
 
-def flip(px: DataFrame, code: int) -> DataFrame:
-    """Sizes come from one aggregate per image."""
-    s = px.groupBy("img_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
-    y = F.col("h") - 1 - F.col("y") if code <= 0 else F.col("y")
-    x = F.col("w") - 1 - F.col("x") if code != 0 else F.col("x")
-    return px.join(s, "img_id").select("img_id", y.alias("y"), x.alias("x"), "c", "v")
+def flip(px: DataFrame, code: int, size: tuple[int, int] | None = None) -> DataFrame:
+    """size: height and width, where all images have the same; else they come from one aggregate per image, joined back."""
+    if size:
+        s, h, w = px, F.lit(size[0]), F.lit(size[1])
+    else:
+        s = px.join(px.groupBy("img_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w")), "img_id")
+        h, w = F.col("h"), F.col("w")
+    y = h - 1 - F.col("y") if code <= 0 else F.col("y")
+    x = w - 1 - F.col("x") if code != 0 else F.col("x")
+    return s.select("img_id", y.alias("y"), x.alias("x"), "c", "v")
 
 
 def transpose(px: DataFrame) -> DataFrame:
@@ -274,22 +306,61 @@ def contour_measures(pts: DataFrame) -> DataFrame:
 # descriptors: (idx, d)
 
 
-def match(query: DataFrame, train: DataFrame, k: int = 1, norm: str = "L2") -> DataFrame:
+def match(query: DataFrame, train: DataFrame, k: int = 1, norm: str = "L2", block_bytes: int = 16 << 20) -> DataFrame:
     """The k nearest train rows of every query row: (query_idx, rank, train_idx, distance), ties to the smaller index.
 
-    Every pair is compared, which is what the operator asks for; the query side is broadcast only while it is small
-    (`F.broadcast` is left to the planner), and a bounded top-k per partition precedes the shuffle (WindowGroupLimit).
+    Queries are broadcast in blocks of at most block_bytes, cut by ranges of their index; a batch of train rows meets a
+    block in NumPy and gives each query's k nearest of its own, so that k rows a query and batch are shuffled.
+    Distances are summed in order of the components, as a loop would.
     """
-    q, t = query.select(F.col("idx").alias("query_idx"), F.col("d").alias("qd")), train.select(F.col("idx").alias("train_idx"), F.col("d").alias("td"))
-    if norm == "HAMMING":
-        dist = F.aggregate(F.zip_with("qd", "td", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x).cast("double")
-    else:
-        term = (lambda a, b: F.abs(a.cast("double") - b.cast("double"))) if norm == "L1" else (lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))
-        total = F.aggregate(F.zip_with("qd", "td", term), F.lit(0.0), lambda s, x: s + x)
-        dist = total if norm == "L1" else F.sqrt(total)
+    from .images import _ship
+
+    _ship(train)
+    spark = query.sparkSession
+    size = query.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("d")), F.lit(0)).alias("c")).first()
+    parts = max(1, -(-int(size.c) * 8 // block_bytes))
+    edges = [None, None]
+    if parts > 1:
+        edges = [None, *sorted(set(query.select(F.percentile_approx("idx", [i / parts for i in range(1, parts)], 100 * parts)).first()[0])), None]
+    found = None
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        block = query if lo is None else query.where(F.col("idx") > lo)
+        block = (block if hi is None else block.where(F.col("idx") <= hi)).select(F.col("idx").cast("bigint"), F.col("d").cast("array<double>" if norm != "HAMMING" else "array<bigint>")).toArrow()
+        if not block.num_rows:
+            continue
+        send = spark.sparkContext.broadcast((block.column(0).to_numpy(), np.array(block.column(1).to_pylist())))
+
+        def run(batches: Iterator[pa.RecordBatch], send=send) -> Iterator[pa.RecordBatch]:
+            ids, q = send.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                own = batch.column(0).to_numpy()
+                t = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+                out = []
+                for i in range(0, len(ids), step := max(1, (1 << 20) // len(own))):
+                    d = np.zeros((len(q[i : i + step]), len(own)))
+                    for a, b in zip(q[i : i + step].T, t.T, strict=True):
+                        x = a[:, None] ^ b if norm == "HAMMING" else a[:, None] - b
+                        d += np.bitwise_count(x) if norm == "HAMMING" else np.abs(x) if norm == "L1" else x * x
+                    d = d if norm != "L2" else np.sqrt(d)
+                    order = np.lexsort((np.broadcast_to(own, d.shape), d))[:, :k]
+                    out.append((np.repeat(ids[i : i + step], order.shape[1]), own[order].ravel(), np.take_along_axis(d, order, 1).ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_idx", "train_idx", "distance"])
+
+        rows = train.select(F.col("idx").cast("bigint").alias("idx"), F.col("d").cast("array<double>" if norm != "HAMMING" else "array<bigint>").alias("d"))
+        part = rows.mapInArrow(run, "query_idx bigint, train_idx bigint, distance double")
+        found = part if found is None else found.union(part)
+    if found is None:
+        found = spark.createDataFrame([], "query_idx bigint, train_idx bigint, distance double")
     w = Window.partitionBy("query_idx").orderBy("distance", "train_idx")
-    every = q.crossJoin(t).select("query_idx", "train_idx", dist.alias("distance"))
-    return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_idx", "rank", "train_idx", "distance")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_idx", "rank", "train_idx", "distance")
+
+
+def unmatched(query: DataFrame, train: DataFrame, most: float, norm: str = "L2") -> DataFrame:
+    """Query rows without a train row within the distance `most`: an anti-join on the nearest one."""
+    near = match(query, train, 1, norm).where(F.col("distance") <= most)
+    return query.join(near.select(F.col("query_idx").alias("idx")), "idx", "left_anti")
 
 
 def mutual(query: DataFrame, train: DataFrame, norm: str = "L2") -> DataFrame:

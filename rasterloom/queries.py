@@ -66,13 +66,13 @@ for name, params, sql, digits in (
     ("rgb_to_cmy", (), "1 - v / 255e0", 3),
     ("apply_pow", (1.5,), "pow(CAST(v AS DOUBLE), 1.5e0)", 3),
     ("apply_sqrt", (), "sqrt(CAST(v AS DOUBLE))", 3),
-    ("apply_log_op", (), "ln(CAST(v AS DOUBLE))", 3),
+    ("apply_log_op", (), "CASE WHEN v = 0 THEN -1e3 ELSE ln(CAST(v AS DOUBLE)) END", 3),
     ("convert_scale_abs", (1.3, -150.0), R8.format("abs(v * 1.3e0 + -150e0)"), 0),
     ("apply_lut", (TABLE,), "(v * 7 + 13) % 256", 0),
 ):
-    # ln of 0 is minus infinity, which has no checksum.
-    some = " WHERE v > 0" if name == "apply_log_op" else ""
-    add(name, lambda s, d, name=name, params=params, digits=digits, some=some: check(rel.apply_point(fx.img8(s, d).where("v > 0") if some else fx.img8(s, d), name, *params), digits), checked(f"SELECT img_id, y, x, c, {sql} v FROM img8{some}", digits))
+    # ln of 0 is minus infinity, which counts as -1000 in a checksum.
+    finite = (lambda px: px.withColumn("v", F.when(F.col("v") == float("-inf"), -1000.0).otherwise(F.col("v")))) if name == "apply_log_op" else (lambda px: px)
+    add(name, lambda s, d, name=name, params=params, digits=digits, finite=finite: check(finite(rel.apply_point(fx.img8(s, d), name, *params)), digits), checked(f"SELECT img_id, y, x, c, {sql} v FROM img8", digits))
 add("apply_exp", lambda s, d: check(rel.apply_point(fx.img8(s, d).withColumn("v", F.col("v") / 64.0), "apply_exp"), 3), checked("SELECT img_id, y, x, c, exp(v / 64e0) v FROM img8", 3))
 
 # pairs
@@ -91,11 +91,17 @@ for name, params, sql, digits in (
     ("apply_max", (), "greatest(a, b)", 0),
     ("calculate_phase", (), "atan2(CAST(b AS DOUBLE), a)", 3),
     ("calculate_magnitude", (), "sqrt(CAST(a * a + b * b AS DOUBLE))", 3),
-    ("cart_to_polar", (), "sqrt(CAST(a * a + b * b AS DOUBLE))", 3),
-    ("polar_to_cart", (), "a * cos(radians(CAST(b AS DOUBLE)))", 3),
 ):
     add(name, lambda s, d, name=name, params=params, digits=digits: check(rel.apply_pair(fx.pair8(s, d), name, *params), digits), checked(f"SELECT img_id, y, x, c, {sql} v FROM pair8", digits))
 
+TWO_SQL = {
+    "cart_to_polar": ("sqrt(CAST(a * a + b * b AS DOUBLE))", "atan2(CAST(b AS DOUBLE), a)"),
+    "polar_to_cart": ("a * cos(radians(CAST(b AS DOUBLE)))", "a * sin(radians(CAST(b AS DOUBLE)))"),
+}
+for name, both in TWO_SQL.items():
+    body = " UNION ALL ".join(f"SELECT img_id, y, x, {i} c, {e} v FROM pair8" for i, e in enumerate(both))
+    add(name, lambda s, d, name=name: check(rel.apply_two(fx.pair8(s, d), name), 3), checked(body, 3))
+
 # colours
 
 R, G, B = "(r / 255e0)", "(g / 255e0)", "(b / 255e0)"
@@ -122,7 +128,7 @@ def _channels(*e: str) -> str:
 
 
 def _images(s: SparkSession, d: str) -> DataFrame:
-    return im.from_px(fx.rgb8(s, d))
+    return fx.rgb_images(s, d)
 
 
 for name, f, channels, digits in (
@@ -135,13 +141,21 @@ for name, f, channels, digits in (
     ("rgb_to_lab", rel.rgb_to_lab, [f"116e0 * {LABF[1]} - 16e0", f"500e0 * ({LABF[0]} - {LABF[1]})", f"200e0 * ({LABF[1]} - {LABF[2]})"], 3),
     ("rgb_to_luv", rel.rgb_to_luv, [L_, f"13e0 * {L_} * ({UV[0]} - {lit(4 * 0.95047 / DN)})", f"13e0 * {L_} * ({UV[1]} - {lit(9 / DN)})"], 3),
 ):
-    add(name, lambda s, d, f=f, digits=digits: check(f(rel.colours(fx.rgb8(s, d))), digits), checked(_channels(*channels), digits))
+    add(name, lambda s, d, f=f, digits=digits: check(f(fx.rgb(s, d)), digits), checked(_channels(*channels), digits))
 add("cvtColor", lambda s, d: check(im.to_px(im.run(_images(s, d), dense.cvtColor, 41))), checked(_channels(*HSV)))
 add("bgr_to_rgb", lambda s, d: check(fx.rgb8(s, d).withColumn("c", 2 - F.col("c"))), checked("SELECT img_id, y, x, 2 - c c, v FROM rgb8"))
 add("gray_to_rgb", lambda s, d: check(fx.img8(s, d).withColumn("c", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))), checked("SELECT img_id, y, x, k.c, v FROM img8 CROSS JOIN (VALUES (0), (1), (2)) k(c)"))
 add("in_range", lambda s, d: check(rel.in_range(fx.rgb8(s, d), [100, 110, 90], [150, 160, 170])), checked("SELECT img_id, y, x, 0 c, CASE WHEN r BETWEEN 100 AND 150 AND g BETWEEN 110 AND 160 AND b BETWEEN 90 AND 170 THEN 255 ELSE 0 END v FROM rgb"))
-add("split_channels", lambda s, d: check(fx.rgb8(s, d).where("c = 1").withColumn("c", F.lit(0))), checked("SELECT img_id, y, x, 0 c, v FROM rgb8 WHERE c = 1"))
-add("merge_channels", lambda s, d: check(fx.rgb8(s, d).where("c = 0").unionByName(fx.rgb8(s, d).where("c > 0"))), checked("SELECT * FROM rgb8"))
+add(
+    "split_channels",
+    lambda s, d: check(rel.split(fx.rgb8(s, d)).select((F.col("img_id") * 3 + F.col("plane")).alias("img_id"), "y", "x", "c", "v")),
+    checked("SELECT img_id * 3 + c img_id, y, x, 0 c, v FROM rgb8"),
+)
+add(
+    "merge_channels",
+    lambda s, d: check(rel.merge(*[fx.img8(s, d).where(f"img_id % 3 = {k}").withColumn("img_id", F.expr("img_id div 3")) for k in (2, 0, 1)])),
+    checked("SELECT img_id // 3 img_id, y, x, CASE img_id % 3 WHEN 2 THEN 0 WHEN 0 THEN 1 ELSE 2 END c, v FROM img8"),
+)
 add("mix_channels", lambda s, d: check(fx.rgb8(s, d).withColumn("v", F.when(F.col("c") == 1, 0).otherwise(F.col("v"))).withColumn("c", (2 - F.col("c")))), checked("SELECT img_id, y, x, 2 - c c, CASE WHEN c = 1 THEN 0 ELSE v END v FROM rgb8"))
 
 # reductions and histograms
@@ -154,11 +168,11 @@ OTSU = """h AS (SELECT img_id, v, count(*) n FROM img8 GROUP BY 1, 2),
 o AS (SELECT *, sum(n) OVER w b, sum(n * v) OVER w s, sum(n) OVER (PARTITION BY img_id) nt, sum(n * v) OVER (PARTITION BY img_id) st FROM h WINDOW w AS (PARTITION BY img_id ORDER BY v ROWS UNBOUNDED PRECEDING)),
 q AS (SELECT img_id, v, CASE WHEN nt > b THEN CAST(b AS DOUBLE) * CAST(nt - b AS DOUBLE) * (CAST(s AS DOUBLE) / CAST(b AS DOUBLE) - CAST(st - s AS DOUBLE) / CAST(nt - b AS DOUBLE)) * (CAST(s AS DOUBLE) / CAST(b AS DOUBLE) - CAST(st - s AS DOUBLE) / CAST(nt - b AS DOUBLE)) ELSE 0 END var FROM o),
 t AS (SELECT img_id, CASE WHEN max(var) > 0 THEN arg_min(v, (-var, v)) ELSE 0 END t FROM q GROUP BY 1)"""
-add("apply_otsu_threshold", lambda s, d: check(rel.apply_otsu(fx.img8(s, d))), checked("SELECT img8.img_id, y, x, c, CASE WHEN v > t THEN 255 ELSE 0 END v FROM img8 JOIN t USING (img_id)", more=OTSU))
+add("apply_otsu_threshold", lambda s, d: check(im.to_px(im.run(fx.images8(s, d), dense.apply_otsu_threshold))), checked("SELECT img8.img_id, y, x, c, CASE WHEN v > t THEN 255 ELSE 0 END v FROM img8 JOIN t USING (img_id)", more=OTSU))
 add("apply_otsu_with_mode", lambda s, d: check(rel.apply_otsu(fx.img8(s, d), "apply_threshold_tozero")), checked("SELECT img8.img_id, y, x, c, CASE WHEN v > t THEN v ELSE 0 END v FROM img8 JOIN t USING (img_id)", more=OTSU))
 EQ = "e AS (SELECT img_id, c, v, CASE WHEN tot = least_ THEN v ELSE CAST(round(CAST((CAST(cum - least_ AS FLOAT) / CAST(tot - least_ AS FLOAT) * CAST(255 AS FLOAT)) AS DOUBLE)) AS INT) END o FROM (SELECT *, min(cum) OVER (PARTITION BY img_id, c) least_, max(cum) OVER (PARTITION BY img_id, c) tot FROM (SELECT img_id, c, v, CAST(sum(count(*)) OVER (PARTITION BY img_id, c ORDER BY v) AS BIGINT) cum FROM {} GROUP BY 1, 2, 3)))"
-add("hist_equalize_rgb", lambda s, d: check(rel.equalise(fx.rgb8(s, d))), checked("SELECT img_id, y, x, c, o v FROM rgb8 JOIN e USING (img_id, c, v)", more=EQ.format("rgb8")))
-add("hist_equalize_gray", lambda s, d: check(rel.equalise(rel.colours(fx.rgb8(s, d)).select("img_id", "y", "x", F.lit(0).alias("c"), F.expr("cast((r + g + b) div 3 as int)").alias("v")))), checked("SELECT img_id, y, x, c, o v FROM grey JOIN e USING (img_id, c, v)", more="grey AS (SELECT img_id, y, x, 0 c, (r + g + b) // 3 v FROM rgb), " + EQ.format("grey")))
+add("hist_equalize_rgb", lambda s, d: check(im.to_px(im.run(_images(s, d), dense.hist_equalize_rgb))), checked("SELECT img_id, y, x, c, o v FROM rgb8 JOIN e USING (img_id, c, v)", more=EQ.format("rgb8")))
+add("hist_equalize_gray", lambda s, d: check(im.to_px(im.run(_images(s, d), dense.hist_equalize_gray))), checked("SELECT img_id, y, x, c, o v FROM grey JOIN e USING (img_id, c, v)", more="grey AS (SELECT img_id, y, x, 0 c, (r + g + b) // 3 v FROM rgb), " + EQ.format("grey")))
 add("calc_hist", lambda s, d: fx.img8(s, d).groupBy("img_id", F.expr("cast(v div 16 as int)").alias("bin")).agg(F.count("*").alias("n")), fx.with_fixtures("SELECT img_id, CAST(v // 16 AS INT) bin, count(*) n FROM img8 GROUP BY 1, 2"))
 HP = "hp AS (SELECT img_id, bin, sum(a) a, sum(b) b FROM (SELECT img_id, a // 16 bin, 1 a, 0 b FROM pair8 UNION ALL SELECT img_id, b // 16, 0, 1 FROM pair8) GROUP BY 1, 2)"
 
@@ -178,7 +192,26 @@ def _emd(s: SparkSession, d: str) -> DataFrame:
     return h.withColumn("gap", gap).groupBy("img_id").agg(F.sum(F.col("g") * F.col("gap")).alias("emd64"))
 
 
-add("compare_hist", lambda s, d: _hists(s, d).groupBy("img_id").agg(F.sum(F.least("a", "b")).alias("common")), fx.with_fixtures("SELECT img_id, CAST(sum(least(a, b)) AS BIGINT) common FROM hp GROUP BY 1", HP))
+#: Of 16 bins that hold 64 pixels: correlation, chi-square, intersection, Bhattacharyya distance, as sums over the bins.
+COMPARE = {
+    "correlation": "CASE WHEN sqrt((sum(a * a) - 256) * (sum(b * b) - 256)) > 1e-9 THEN (sum(a * b) - 256) / sqrt((sum(a * a) - 256) * (sum(b * b) - 256)) ELSE 0 END",
+    "chi_square": "sum(CASE WHEN a > 0 THEN (a - b) * (a - b) / CASE WHEN a > 0 THEN a ELSE 1 END ELSE 0 END)",
+    "common": "sum(least(a, b))",
+    "bhattacharyya": "sqrt(greatest(0, 1 - sum(sqrt(a * b)) / 64))",
+}
+
+
+def _compared(s: SparkSession, d: str) -> DataFrame:
+    """The stack kernel's four methods over histograms of image pairs, both side by side in one row."""
+    h = _hists(s, d)
+    filled = s.range(16).select(F.col("id").alias("bin"))
+    every = h.select("img_id").distinct().join(F.broadcast(filled)).join(h, ["img_id", "bin"], "left").fillna(0)  # 16 rows are broadcast
+    names = list(COMPARE)
+    f = lambda p: [tuple(round(dense.compare_hist(p[:, 0], p[:, 1], m), 5) + 0.0 for m in range(4))]
+    return by_key(every, "img_id", "bin", ["a", "b"], f, ", ".join(f"{n} double" for n in names), names)
+
+
+add("compare_hist", _compared, fx.with_fixtures("SELECT img_id, " + ", ".join(f"round(CAST({e} AS DOUBLE), 5) + 0e0 {n}" for n, e in COMPARE.items()) + " FROM (SELECT img_id, CAST(a AS DOUBLE) a, CAST(b AS DOUBLE) b FROM hp) GROUP BY 1", HP))
 add("emd_1d", _emd, fx.with_fixtures("SELECT img_id, CAST(sum(g * gap) AS BIGINT) emd64 FROM (SELECT img_id, abs(sum(a) OVER w - sum(b) OVER w) g, coalesce(lead(bin) OVER w - bin, 1) gap FROM hp WINDOW w AS (PARTITION BY img_id ORDER BY bin)) GROUP BY 1", HP))
 add("calc_back_project", lambda s, d: check(im.to_px(im.run(fx.images8(s, d), dense.calc_back_project, 0, np.arange(16.0) * 9, (0.0, 256.0), 1.5))), checked(f"SELECT img_id, y, x, c, {R8.format('(v // 16) * 9 * 1.5e0')} v FROM img8"))
 
@@ -225,7 +258,13 @@ kernel("apply_sobel", 1, 0, 3, sql=window_sql(dense.sobel_kernel(1, 0, 3), "repl
 kernel("apply_scharr", 0, 1, sql=window_sql(np.outer([-1.0, 0, 1], [3.0, 10, 3]), "replicate", SUM))
 kernel("apply_laplacian", 5, sql=window_sql(dense.laplacian_kernel(5), "replicate", SUM))
 kernel("pyr_down", sql=f"SELECT img_id, y // 2 y, x // 2 x, c, {T8.format('v')} v FROM ({window_sql(dense.BINOMIAL / 256, 'replicate', SUM)}) WHERE y % 2 = 0 AND x % 2 = 0")
-kernel("pyr_up")
+UP = " UNION ALL ".join(f"SELECT {y} dy, {x} dx, {lit(dense.BINOMIAL[y, x] / 64)} w" for y in range(5) for x in range(5))
+EVEN = lambda n: f"CAST(least(greatest((o.{n} + t.d{n} - 2) // 2, 0), 7) AS INT)"
+kernel(
+    "pyr_up",
+    sql=f"""SELECT i.img_id, o.y, o.x, 0 c, {T8.format("sum(q.v * t.w)")} v FROM (SELECT DISTINCT img_id FROM img8) i CROSS JOIN (SELECT a.y, b.x FROM range(16) a(y) CROSS JOIN range(16) b(x)) o
+    CROSS JOIN ({UP}) t JOIN img8 q ON q.img_id = i.img_id AND q.y = {EVEN("y")} AND q.x = {EVEN("x")} WHERE (o.y + t.dy) % 2 = 0 AND (o.x + t.dx) % 2 = 0 GROUP BY 1, 2, 3""",
+)
 kernel("adaptive_threshold", 255.0, 0, 0, 3, 2.0, sql=window_sql(FULL, "replicate", "CASE WHEN p.v > sum(q.v) / 9e0 - 2e0 THEN 255 ELSE 0 END"))
 kernel("sqr_box_filter", 3, True, sql=window_sql(FULL, "replicate", "sum(q.v * q.v) / 9e0"), digits=3)
 kernel("sep_filter_2d", np.array([0.25, 0.5, 0.25]), np.array([0.25, 0.5, 0.25]), sql=window_sql(np.outer([1.0, 2, 1], [1.0, 2, 1]) / 16, "replicate", T8.format(SUM)))
@@ -240,12 +279,12 @@ add("top_hat", lambda s, d: check(im.to_px(im.run(fx.images8(s, d), dense.top_ha
 add("black_hat", lambda s, d: check(im.to_px(im.run(fx.images8(s, d), dense.black_hat, CROSS))), checked(f"SELECT p.img_id, p.y, p.x, p.c, greatest(o.v - p.v, 0) v FROM img8 p JOIN ({CLOSE}) o USING (img_id, y, x, c)", more=f"e AS ({DILATE})"))
 add("morphology_ex", lambda s, d: check(im.to_px(im.run(fx.images8(s, d), dense.morphology_ex, 2, CROSS))), checked(OPEN, more=f"e AS ({ERODE})"))
 kernel("match_template", np.array([[100.0, 120], [130, 140]]), 0, sql="SELECT p.img_id, p.y, p.x, p.c, sum((q.v - t.w) * (q.v - t.w)) v FROM img8 p CROSS JOIN (VALUES (0, 0, 100), (0, 1, 120), (1, 0, 130), (1, 1, 140)) t(dy, dx, w) JOIN img8 q ON q.img_id = p.img_id AND q.y = p.y + dy AND q.x = p.x + dx WHERE p.y < 7 AND p.x < 7 GROUP BY 1, 2, 3, 4")
-add("integral", lambda s, d: check(rel.integral(fx.img8(s, d))), checked("SELECT p.img_id, p.y + 1 y, p.x + 1 x, p.c, sum(q.v) v FROM img8 p JOIN img8 q ON q.img_id = p.img_id AND q.y <= p.y AND q.x <= p.x GROUP BY 1, 2, 3, 4"))
+add("integral", lambda s, d: check(im.to_px(im.run(fx.images8(s, d), dense.integral)).where("y > 0 and x > 0").select("img_id", "y", "x", "c", "v")), checked("SELECT p.img_id, p.y + 1 y, p.x + 1 x, p.c, sum(q.v) v FROM img8 p JOIN img8 q ON q.img_id = p.img_id AND q.y <= p.y AND q.x <= p.x GROUP BY 1, 2, 3, 4"))
 add("hough_lines", lambda s, d: rel.hough(fx.img8(s, d).withColumn("v", F.when(F.col("v") > 150, 255).otherwise(0)), 15).where("votes >= 4"), fx.with_fixtures("SELECT img_id, CAST(round(x * cos(radians(CAST(theta AS DOUBLE))) + y * sin(radians(CAST(theta AS DOUBLE)))) AS INT) rho, CAST(theta AS INT) theta, count(*) votes FROM img8 CROSS JOIN range(0, 180, 15) t(theta) WHERE v > 150 GROUP BY 1, 2, 3 HAVING count(*) >= 4"))
 
 # geometry
 
-add("apply_flip", lambda s, d: check(rel.flip(fx.img8(s, d), -1)), checked("SELECT img_id, 7 - y y, 7 - x x, c, v FROM img8"))
+add("apply_flip", lambda s, d: check(rel.flip(fx.img8(s, d), -1, (8, 8))), checked("SELECT img_id, 7 - y y, 7 - x x, c, v FROM img8"))
 add("apply_transpose", lambda s, d: check(rel.transpose(fx.img8(s, d))), checked("SELECT img_id, x y, y x, c, v FROM img8"))
 
 
@@ -261,8 +300,19 @@ kernel("apply_warp_affine", np.array([[0.9, 0.1, 0.3], [-0.2, 1.1, 0.2]]), 8, 8,
 kernel("apply_resize", 4, 4, 0, sql="SELECT p.img_id, p.y, p.x, p.c, q.v FROM img8 p JOIN img8 q ON q.img_id = p.img_id AND q.x = CAST(round((p.x + 0.5e0) * 2 - 0.5e0) AS INT) AND q.y = CAST(round((p.y + 0.5e0) * 2 - 0.5e0) AS INT) WHERE p.x < 4 AND p.y < 4")
 GX, GY = np.meshgrid(np.arange(8.0)[::-1], np.arange(8.0))
 kernel("apply_remap", GX, GY, 0, sql="SELECT img_id, y, 7 - x x, c, v FROM img8")
-kernel("apply_linear_polar", (4.0, 4.0), 4.0)
-kernel("apply_log_polar", (4.0, 4.0), 4.0)
+
+
+def bilinear_sql(sx: str, sy: str) -> str:
+    """Four taps clamped to the image, 0 where the place is outside."""
+    at = f"SELECT img_id, y, x, c, sx >= 0 AND sx < 8 AND sy >= 0 AND sy < 8 ok, CASE WHEN sx >= 0 AND sx < 8 AND sy >= 0 AND sy < 8 THEN sx ELSE 0 END sx, CASE WHEN sx >= 0 AND sx < 8 AND sy >= 0 AND sy < 8 THEN sy ELSE 0 END sy FROM (SELECT img_id, y, x, c, {sx} sx, {sy} sy FROM img8)"
+    weight = lambda n: f"greatest(1 - abs(p.s{n} - floor(p.s{n}) - t.d{n}), 0)"
+    total = R8.format(f"list_sum(list(q.v * ({weight('x')} * {weight('y')}) ORDER BY t.k))")
+    return f"SELECT p.img_id, p.y, p.x, p.c, CASE WHEN p.ok THEN {total} ELSE 0 END v FROM ({at}) p CROSS JOIN (VALUES (0, 0, 0), (1, 0, 1), (2, 1, 0), (3, 1, 1)) t(k, dy, dx) JOIN img8 q ON q.img_id = p.img_id AND q.y = CAST(least(floor(p.sy) + t.dy, 7) AS INT) AND q.x = CAST(least(floor(p.sx) + t.dx, 7) AS INT) GROUP BY p.img_id, p.y, p.x, p.c, p.ok"
+
+
+TURN = lit(2 * math.pi / 8)
+kernel("apply_linear_polar", (4.0, 4.0), 4.0, sql=bilinear_sql(f"4 + (y * 4e0 / 8) * cos(x * {TURN})", f"4 + (y * 4e0 / 8) * sin(x * {TURN})"))
+kernel("apply_log_polar", (4.0, 4.0), 4.0, sql=bilinear_sql(f"4 + exp(y / 4e0) * cos(x * {TURN})", f"4 + exp(y / 4e0) * sin(x * {TURN})"))
 
 # contours of points in time
 
@@ -276,9 +326,22 @@ for name, columns, sql in (
 add("moments", lambda s, d: rel.moments(fx.img8(s, d)), fx.with_fixtures("SELECT img_id, " + ", ".join(f"CAST(sum(CAST(v AS BIGINT){' * x' * i}{' * y' * j}) AS BIGINT) m{i}{j}" for i, j in shapes.ORDERS) + " FROM img8 GROUP BY 1"))
 
 
-def contours(name: str, f: Callable, schema: str, names: list[str]) -> None:
+RING = "ring AS (SELECT contour_id, i, x, y, coalesce(lead(x) OVER o, first(x) OVER a) x2, coalesce(lead(y) OVER o, first(y) OVER a) y2, count(*) OVER a n FROM pts WINDOW o AS (PARTITION BY contour_id ORDER BY i), a AS (PARTITION BY contour_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"
+
+
+def contours(name: str, f: Callable, schema: str, names: list[str], sql: str | None = None) -> None:
     """A kernel per contour."""
-    add(name, lambda s, d: by_key(fx.pts(s, d), "contour_id", "i", ["x", "y"], lambda p: f(p.astype(np.int32)), schema, names))
+    add(name, lambda s, d: by_key(fx.pts(s, d), "contour_id", "i", ["x", "y"], lambda p: f(p.astype(np.int32)), schema, names), sql and fx.with_fixtures(sql, RING))
+
+
+CONVEX = """SELECT contour_id, coalesce(NOT (bool_or(t > 0) AND bool_or(t < 0)) OR min(n) < 3, TRUE) convex FROM (
+    SELECT contour_id, n, dx * coalesce(lead(dy) OVER o, first(dy) OVER a) - dy * coalesce(lead(dx) OVER o, first(dx) OVER a) t
+    FROM (SELECT contour_id, i, n, x2 - x dx, y2 - y dy FROM ring)
+    WINDOW o AS (PARTITION BY contour_id ORDER BY i), a AS (PARTITION BY contour_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) GROUP BY 1"""
+INSIDE = """SELECT contour_id, round(CASE WHEN near < 1e-9 THEN 0 WHEN odd % 2 = 1 THEN sqrt(near) ELSE -sqrt(near) END, 6) + 0e0 d FROM (
+    SELECT contour_id, min(pow(x + k * (x2 - x) - 200, 2) + pow(y + k * (y2 - y) - 50, 2)) near,
+    count(*) FILTER (WHERE (y > 50) <> (y2 > 50) AND 200 < (x2 - x) * (50 - y) / CASE WHEN y2 = y THEN 1e0 ELSE CAST(y2 - y AS DOUBLE) END + x) odd
+    FROM (SELECT *, CASE WHEN x2 = x AND y2 = y THEN 0e0 ELSE greatest(0e0, least(1e0, CAST((200 - x) * (x2 - x) + (50 - y) * (y2 - y) AS DOUBLE) / ((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)))) END k FROM ring) GROUP BY 1)"""
 
 
 def _try(f: Callable) -> Callable:
@@ -301,8 +364,8 @@ contours("convexity_defects", lambda p: [tuple(map(int, r)) for r in shapes.conv
 contours("approx_poly_dp", lambda p: [(i, int(x), int(y)) for i, (x, y) in enumerate(shapes.approx_poly_dp(p, 5.0))], "i int, x int, y int", ["i", "x", "y"])
 contours("hu_moments", lambda p: [(i, float(h)) for i, h in enumerate(shapes.hu_moments(shapes.moments(p)))], "i int, h double", ["i", "h"])
 contours("match_shapes", lambda p: [(shapes.match_shapes(p, p[::-1] * 2, m),) for m in (1, 2, 3)], "d double", ["d"])
-contours("is_contour_convex", lambda p: [(shapes.is_contour_convex(p),)], "convex boolean", ["convex"])
-contours("point_polygon_test", lambda p: [(shapes.point_polygon_test(p, (200, 50), True),)], "d double", ["d"])
+contours("is_contour_convex", lambda p: [(shapes.is_contour_convex(p),)], "convex boolean", ["convex"], CONVEX)
+contours("point_polygon_test", lambda p: [(round(shapes.point_polygon_test(p, (200, 50), True), 6) + 0.0,)], "d double", ["d"], INSIDE)
 
 # segmentation
 
@@ -340,8 +403,16 @@ def keypoints(name: str, f: Callable) -> None:
 
 keypoints("fast_detect", features.fast_detect)
 keypoints("good_features_to_track", lambda a: features.good_features_to_track(a, 100))
+
+
+def described(name: str, f: Callable) -> None:
+    """Keypoints with the sum of their descriptor, in thousandths."""
+    found = lambda a: [(p.x, p.y, p.size, p.response, int(np.floor(np.asarray(v, float) * 1000 + 0.5).sum())) for p, v in zip(*f(a), strict=True)]
+    add(name, lambda s, d: im.rows(fx.page_images(s, d), found, POINTS + ", descriptor bigint", ["x", "y", "size", "response", "descriptor"]))
+
+
 for name in ("orb_detect_and_compute", "sift_detect_and_compute", "brisk_detect_and_compute", "akaze_detect_and_compute"):
-    keypoints(name, lambda a, f=KERNELS[name]: f(a, 20)[0])
+    described(name, KERNELS[name])
 keypoints("simple_blob_detect", lambda a: features.simple_blob_detect(a, threshold_step=40.0))
 
 
@@ -349,9 +420,29 @@ def listed(name: str, f: Callable, schema: str, names: list[str], source: Callab
     add(name, lambda s, d: im.rows(source(s, d), f, schema, names))
 
 
-def image(name: str, f: Callable, digits: int = 0, source: Callable = fx.page_images) -> None:
+def image(name: str, f: Callable, digits: int = 0, source: Callable = fx.page_images, sql: str | None = None, more: str = "") -> None:
     """f gives an image; checksums of it."""
-    add(name, lambda s, d: check(im.to_px(im.run(source(s, d), f)), digits))
+    add(name, lambda s, d: check(im.to_px(im.run(source(s, d), f)), digits), sql and checked(sql, digits, more))
+
+
+#: Sobel gradients inside the frame, and the sums of their products over 3x3 windows; whole numbers, exact in single precision.
+TENSOR = """grad AS (SELECT p.img_id, p.y, p.x, sum(q.v * t.a) gx, sum(q.v * t.b) gy FROM img8 p
+    CROSS JOIN (VALUES (-1, -1, -1, -1), (-1, 0, 0, -2), (-1, 1, 1, -1), (0, -1, -2, 0), (0, 1, 2, 0), (1, -1, -1, 1), (1, 0, 0, 2), (1, 1, 1, 1)) t(dy, dx, a, b)
+    JOIN img8 q ON q.img_id = p.img_id AND q.y = p.y + t.dy AND q.x = p.x + t.dx WHERE p.y BETWEEN 1 AND 6 AND p.x BETWEEN 1 AND 6 GROUP BY 1, 2, 3),
+tensor AS (SELECT p.img_id, p.y, p.x, CAST(CASE WHEN p.y BETWEEN 1 AND 6 AND p.x BETWEEN 1 AND 6 THEN coalesce(sum(gx * gx), 0) ELSE 0 END AS FLOAT) xx, CAST(CASE WHEN p.y BETWEEN 1 AND 6 AND p.x BETWEEN 1 AND 6 THEN coalesce(sum(gy * gy), 0) ELSE 0 END AS FLOAT) yy,
+    CAST(CASE WHEN p.y BETWEEN 1 AND 6 AND p.x BETWEEN 1 AND 6 THEN coalesce(sum(gx * gy), 0) ELSE 0 END AS FLOAT) xy FROM img8 p LEFT JOIN grad g ON g.img_id = p.img_id AND abs(g.y - p.y) <= 1 AND abs(g.x - p.x) <= 1 GROUP BY p.img_id, p.y, p.x)"""
+LEAST = "t / CAST(2 AS FLOAT) - CAST(sqrt(CAST(greatest(t * t / CAST(4 AS FLOAT) - (xx * yy - xy * xy), CAST(0 AS FLOAT)) AS DOUBLE)) AS FLOAT)"
+DERIVED = """(SELECT p.img_id, p.y, p.x, {} FROM img8 p JOIN img8 q ON q.img_id = p.img_id AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1 WHERE p.y BETWEEN 2 AND 5 AND p.x BETWEEN 2 AND 5 GROUP BY 1, 2, 3)""".format(
+    ", ".join(f"CAST(sum(CASE {' '.join(f'WHEN q.y - p.y = {dy} AND q.x - p.x = {dx} THEN {w} * q.v' for dy, dx, w in taps)} ELSE 0 END) AS FLOAT) / CAST({by} AS FLOAT) {n}" for n, by, taps in (("dx", 2, ((0, 1, 1), (0, -1, -1))), ("dy", 2, ((1, 0, 1), (-1, 0, -1))), ("dxx", 1, ((0, 1, 1), (0, 0, -2), (0, -1, 1))), ("dyy", 1, ((1, 0, 1), (0, 0, -2), (-1, 0, 1))), ("dxy", 4, ((1, 1, 1), (1, -1, -1), (-1, 1, -1), (-1, -1, 1)))))
+)
+UNDISTORTED = lambda n, m: f"(({n} - 4) / 8e0) * (1 + 0.1e0 * ((({n} - 4) / 8e0) * (({n} - 4) / 8e0) + (({m} - 4) / 8e0) * (({m} - 4) / 8e0))) * 8e0 + 4e0"
+THREE_D = " UNION ALL ".join(f"SELECT img_id, y, x, {i} c, CAST(({e}) / (0.5e0 * v + 1) AS FLOAT) v FROM img8" for i, e in enumerate(("x - 4", "y - 4", "8")))
+TRIANGLE = """SELECT img_id, t FROM (SELECT *, row_number() OVER (PARTITION BY img_id ORDER BY far DESC, bin) k FROM (
+    SELECT img_id, bin, CASE WHEN lo = hi THEN peak ELSE bin END + CASE WHEN isleft AND lo < hi THEN 1 ELSE 0 END t, CASE WHEN lo = hi THEN 0 ELSE abs((hb - ha) * bin - (hi - lo) * n + hi * ha - hb * lo) END far FROM (
+    SELECT e.*, h.bin, h.n, a.n ha, b.n hb FROM ends e JOIN every h ON h.img_id = e.img_id AND h.bin BETWEEN e.lo AND e.hi JOIN every a ON a.img_id = e.img_id AND a.bin = e.lo JOIN every b ON b.img_id = e.img_id AND b.bin = e.hi))) WHERE k = 1"""
+TRIANGLE_ENDS = """every AS (SELECT i.img_id, CAST(r.bin AS INT) bin, coalesce(h.n, 0) n FROM (SELECT DISTINCT img_id FROM img8) i CROSS JOIN range(256) r(bin) LEFT JOIN (SELECT img_id, v, count(*) n FROM img8 GROUP BY 1, 2) h ON h.img_id = i.img_id AND h.v = r.bin),
+ends AS (SELECT img_id, peak, CASE WHEN peak - lo < hi - peak THEN peak ELSE lo END lo, CASE WHEN peak - lo < hi - peak THEN hi ELSE peak END hi, NOT (peak - lo < hi - peak) isleft FROM (
+    SELECT img_id, arg_min(bin, (-n, bin)) peak, min(bin) FILTER (WHERE n > 0) lo, max(bin) FILTER (WHERE n > 0) hi FROM every GROUP BY 1))"""
 
 
 EDGES = lambda a: dense.canny_l2(a, 40.0, 120.0)
@@ -366,13 +457,16 @@ listed("line_segment_detector", lambda a: [t[:4] for t in KERNELS["line_segment_
 listed("corner_sub_pix", lambda a: KERNELS["corner_sub_pix"](a, [(10.0, 3.0), (30.0, 5.0)]), "x double, y double", ["x", "y"])
 listed("imencode", lambda a: [(KERNELS["imencode"](".png", a)[1].tobytes(),)], "data binary", ["data"], fx.images8)
 listed("imdecode", lambda a: [(int((KERNELS["imdecode"](KERNELS["imencode"](".png", a)[1], 0) == a).sum()),)], "same int", ["same"], fx.images8)
-listed("drawMatches", lambda a: [(int(features.drawMatches(a, p := features.fast_detect(a)[:5], a, p, [features.DMatch(i, i, 0.0) for i in range(len(p))]).sum()),)], "total bigint", ["total"])
+listed("drawMatches", lambda a: [(int(features.drawMatches(a, p := features.fast_detect(a), a, p, [features.DMatch(i, i, 0.0) for i in range(len(p))]).sum()),)], "total bigint", ["total"])
 listed("findChessboardCorners", lambda a: [(KERNELS["findChessboardCorners"](a, (4, 3))[0],)], "found int", ["found"])
 listed("QRCodeDetector", lambda a: [(int(detect.QRCodeDetector().detect(a)[0]),)], "found int", ["found"])
 listed("CascadeClassifier", lambda a: [tuple(map(int, r)) for r in detect.CascadeClassifier().detectMultiScale(a)], "x int, y int, w int, h int", ["x", "y", "w", "h"])
 listed("HOGDescriptor", lambda a: [(float(detect.HOGDescriptor((8, 8), (8, 8), (4, 4), (4, 4)).compute(a).sum()),)], "total double", ["total"], fx.images8)
-listed("apply_threshold_triangle", lambda a: [(int(dense.apply_threshold_triangle(a)[0]),)], "t int", ["t"], fx.images8)
-for name, args in (("hist_spec_rgb", (np.ones(256, np.float32),)), ("hist_spec_gray", (np.ones(256, np.float32),)), ("fastNlMeansDenoisingColored", (10.0, 10.0, 3, 9)), ("colorChange", (MASK, 1.5, 0.5, 1.0)), ("illuminationChange", (MASK,)), ("textureFlattening", (MASK,)), ("decolor", ()), ("edgePreservingFilter", ()), ("detailEnhance", ()), ("pencilSketch", ()), ("stylization", ())):
+add("apply_threshold_triangle", lambda s, d: im.rows(fx.images8(s, d), lambda a: [(int(dense.apply_threshold_triangle(a)[0]),)], "t int", ["t"]).drop("idx"), fx.with_fixtures(TRIANGLE, TRIANGLE_ENDS))
+#: A flat goal: of 64 pixels, the share up to v in 256 equal steps.
+for name, source in (("hist_spec_rgb", "rgb8"), ("hist_spec_gray", "grey")):
+    image(name, lambda a, f=KERNELS[name]: f(a, np.ones(256, np.float32)), 0, RGB8, f"SELECT img_id, y, x, c, CAST(4 * count(*) OVER (PARTITION BY img_id, c ORDER BY v RANGE UNBOUNDED PRECEDING) - 1 AS INT) v FROM {source}", "grey AS (SELECT img_id, y, x, 0 c, (77 * r + 150 * g + 29 * b) // 256 v FROM rgb)")
+for name, args in (("fastNlMeansDenoisingColored", (10.0, 10.0, 3, 9)), ("colorChange", (MASK, 1.5, 0.5, 1.0)), ("illuminationChange", (MASK,)), ("textureFlattening", (MASK,)), ("decolor", ()), ("edgePreservingFilter", ()), ("detailEnhance", ()), ("pencilSketch", ()), ("stylization", ())):
     image(name, lambda a, f=KERNELS[name], args=args: f(a, *args), source=RGB8)
 image("seamlessClone", lambda a: KERNELS["seamlessClone"](a, a[::-1].copy(), MASK, (4, 4)), source=RGB8)
 image("grab_cut", lambda a: KERNELS["grab_cut"](a, np.zeros((8, 8), np.uint8), (2, 2, 4, 4), None, None, 2, 0)[0], source=RGB8)
@@ -383,15 +477,15 @@ image("createCalibrateDebevec", lambda a: np.log(np.maximum(KERNELS["createCalib
 image("blobFromImage", lambda a: KERNELS["blobFromImage"](a, 1 / 255, (4, 4))[0].transpose(1, 2, 0), 3, RGB8)
 image("inpaint", lambda a: KERNELS["inpaint"](a, MASK, 3.0), source=fx.images8)
 image("fastNlMeansDenoising", lambda a: KERNELS["fastNlMeansDenoising"](a, 10.0, 3, 9), source=fx.images8)
-image("undistort", lambda a: KERNELS["undistort"](a, np.array([[8.0, 0, 4], [0, 8, 4], [0, 0, 1]]), [0.1, 0, 0, 0]), source=fx.images8)
-image("reprojectImageTo3D", lambda a: KERNELS["reprojectImageTo3D"](a, np.array([[1.0, 0, 0, -4], [0, 1, 0, -4], [0, 0, 0, 8], [0, 0, 0.5, 1]])), 3, fx.images8)
+image("undistort", lambda a: KERNELS["undistort"](a, np.array([[8.0, 0, 4], [0, 8, 4], [0, 0, 1]]), [0.1, 0, 0, 0]), source=fx.images8, sql=bilinear_sql(UNDISTORTED("x", "y"), UNDISTORTED("y", "x")))
+image("reprojectImageTo3D", lambda a: KERNELS["reprojectImageTo3D"](a, np.array([[1.0, 0, 0, -4], [0, 1, 0, -4], [0, 0, 0, 8], [0, 0, 0.5, 1]])), 3, fx.images8, THREE_D)
 image("watershed", lambda a: KERNELS["watershed"](a, np.pad([[1]], ((0, 7), (0, 7))) + np.pad([[2]], ((7, 0), (7, 0)))), source=fx.images8)
 image("apply_canny", lambda a: dense.apply_canny(a.astype(float), 20.0, 60.0))
 image("canny_l2", EDGES)
-image("harris_corner", lambda a: dense.harris_corner(a, 3, 0), source=fx.images8)
-image("shi_tomasi_corners", lambda a: dense.shi_tomasi_corners(a, 3), source=fx.images8)
+image("harris_corner", lambda a: dense.harris_corner(a, 3, 0), source=fx.images8, sql="SELECT img_id, y, x, 0 c, xx * yy - xy * xy v FROM tensor", more=TENSOR)
+image("shi_tomasi_corners", lambda a: dense.shi_tomasi_corners(a, 3), source=fx.images8, sql=f"SELECT img_id, y, x, 0 c, trunc(CAST({LEAST} AS DOUBLE)) v FROM (SELECT *, xx + yy t FROM tensor)", more=TENSOR)
 image("corner_eigen_vals_and_vecs", lambda a: dense.corner_eigen_vals_and_vecs(a), source=fx.images8)
-image("pre_corner_detect", lambda a: dense.pre_corner_detect(a), source=fx.images8)
+image("pre_corner_detect", lambda a: dense.pre_corner_detect(a), source=fx.images8, sql=f"SELECT p.img_id, p.y, p.x, 0 c, coalesce(trunc(CAST(dx * dx * dyy + dy * dy * dxx - CAST(2 AS FLOAT) * dx * dy * dxy AS DOUBLE)), 0) v FROM img8 p LEFT JOIN {DERIVED} g USING (img_id, y, x)")
 image("apply_frequency_filter", lambda a: np.abs(dense.apply_frequency_filter(np.fft.fftshift(np.fft.fft2(a)), 3.0, "GLPF")), source=fx.images8)
 image("drawKeypoints", lambda a: features.drawKeypoints(a, features.fast_detect(a)))
 DRAW = {"line": ((1, 1), (6, 4), 255), "rectangle": ((1, 1), (6, 5), 255), "circle": ((4, 4), 3, 255), "ellipse": ((4, 4), (3, 2), 30.0, 0.0, 360.0, 255), "polylines": ([[(1, 1), (6, 2), (3, 6)]], True, 255), "fill_poly": ([[(1, 1), (6, 2), (3, 6)]], 255), "arrowed_line": ((1, 1), (6, 5), 255), "put_text": ("A", (0, 8), 1.0, 255), "draw_contours": ([np.array([(1, 1), (6, 1), (6, 6), (1, 6)])], -1, 255, 1)}
@@ -401,40 +495,10 @@ for name, args in DRAW.items():
 add("rectangle", lambda s, d: check(im.to_px(im.run(fx.images8(s, d), shapes.rectangle, (1, 2), (5, 6), 255, -1))), checked("SELECT img_id, y, x, c, CASE WHEN x BETWEEN 1 AND 5 AND y BETWEEN 2 AND 6 THEN 255 ELSE v END v FROM img8"))
 
 
-def constant(name: str, f: Callable) -> None:
-    """A matrix that depends on parameters alone: (y, x, v)."""
-
-    def query(s: SparkSession, d: str) -> DataFrame:
-        a = np.atleast_2d(np.asarray(f(), float))
-        return s.createDataFrame([(int(y), int(x), round(float(v), 9)) for (y, x), v in np.ndenumerate(a)], "y int, x int, v double")
-
-    add(name, query)
-
-
-SQUARE, MOVED = [(0, 0), (4, 0), (4, 4), (0, 4)], [(1, 1), (5, 0), (6, 5), (0, 4)]
-P3 = np.array([(x, y, (x * y) % 3) for x in range(4) for y in range(4)], float)
-KM = np.array([[50.0, 0, 32], [0, 50, 32], [0, 0, 1]])
-from .kernels import photo  # noqa: E402
-
-SEEN, SEEN2 = (photo._see(P3, np.array([0.1, 0.2, 0.0]), np.array(t), KM, None) for t in ([-1.0, -1, 9], [-2.0, -1, 9.5]))
-VIEWS = [(np.array([0.3, -0.2, 0.1]), [-1.5, -1.5, 9.0]), (np.array([-0.2, 0.3, 0.0]), [-1.0, -2, 8]), (np.array([0.1, 0.2, -0.3]), [-2.0, -1, 10])]
-FLAT = P3 * [1, 1, 0]
-SHOTS = [photo._see(FLAT, r, np.array(t), KM, None) for r, t in VIEWS]
-constant("get_structuring_element", lambda: dense.get_structuring_element(2, 5, 5))
-constant("get_gabor_kernel", lambda: dense.get_gabor_kernel(5, 1.0, 0.5, 3.0, 0.8))
-constant("get_rotation_matrix_2d", lambda: dense.get_rotation_matrix_2d((3, 4), 30.0, 1.5))
-constant("get_affine_transform", lambda: dense.get_affine_transform(SQUARE[:3], MOVED[:3]))
-constant("get_perspective_transform", lambda: dense.get_perspective_transform(SQUARE, MOVED))
-constant("invert_affine_transform", lambda: dense.invert_affine_transform([[1.0, 0.2, 3], [0.1, 0.9, -2]]))
-constant("findHomography", lambda: features.findHomography(SQUARE, MOVED)[0])
-constant("calibrateCamera", lambda: photo.calibrateCamera([FLAT] * 3, SHOTS, (64, 64))[1].round(4))
-constant("solvePnP", lambda: np.concatenate(photo.solvePnP(P3, SEEN, KM, None)[1:]).round(6))
-constant("stereoCalibrate", lambda: photo.stereoCalibrate([P3], [SEEN], [SEEN2], KM, None, KM, None, (64, 64))[6].round(6))
-constant("stereoRectify", lambda: photo.stereoRectify(KM, None, KM, None, (64, 64), np.eye(3), [1.0, 0, 0])[4].round(6))
-constant("findEssentialMat", lambda: np.abs(photo.findEssentialMat(SEEN, SEEN2, KM)[0]).round(6))
-constant("findFundamentalMat", lambda: photo.findFundamentalMat(SEEN, SEEN2)[0].round(6))
-constant("decomposeHomographyMat", lambda: [[photo.decomposeHomographyMat(np.eye(3) + 0.1 * np.outer([1, 0, 0], [0, 0, 1]), np.eye(3))[0]]])
-constant("triangulatePoints", lambda: photo.triangulatePoints(KM @ np.eye(3, 4), KM @ np.column_stack([np.eye(3), [1, 0, 0]]), SEEN.T, SEEN2.T).round(6))
+from . import scenes  # noqa: E402
+
+for name, (query, sql) in scenes.QUERIES.items():
+    add(name, query, sql)
 
 
 def _grouped(name: str, f: Callable, schema: str, columns: list[str]) -> None:

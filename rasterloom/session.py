@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir. Where that is unset, one of this machine, but in local mode alone: elsewhere executors couldn't reach it."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
+        base = "file://" + tempfile.mkdtemp(prefix="rasterloom-shared-")
+    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def session(name: str = "rasterloom", **conf: str) -> SparkSession:
     """Adaptive execution, UTC, and Arrow batches of few images: an image may be megabytes."""
     b = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.execution.arrow.maxRecordsPerBatch", "512")

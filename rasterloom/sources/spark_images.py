@@ -45,15 +45,20 @@ class _Writer(DataSourceWriter):
         self.folder, self.ext = folder, ext
 
     def write(self, rows) -> WriterCommitMessage:
+        import uuid
+
         import numpy as np
+        from pyarrow import fs
 
-        Path(self.folder).mkdir(parents=True, exist_ok=True)
+        # By the folder's scheme: a mounted disk, HDFS or an object store.
+        where, folder = fs.FileSystem.from_uri(self.folder if "://" in self.folder else Path(self.folder).absolute().as_uri())
+        where.create_dir(folder, recursive=True)
         for r in rows:
             a = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels)
-            target = Path(self.folder) / f"{r.name}{self.ext}"
-            part = target.with_suffix(".part")
-            part.write_bytes(codecs.imencode(self.ext, a)[1].tobytes())
-            part.replace(target)  # a retried task overwrites its own file
+            part = f"{folder}/.{r.name}-{uuid.uuid4().hex}"
+            with where.open_output_stream(part) as f:
+                f.write(codecs.imencode(self.ext, a)[1].tobytes())
+            where.move(part, f"{folder}/{r.name}{self.ext}")  # a retried task overwrites its own file
         return WriterCommitMessage()
 
 

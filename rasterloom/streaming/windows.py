@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import shared_folder
+
 
 def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.readStream.schema(batch(spark, sf_dir).schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+def _stream(spark: SparkSession, sf_dir: str, files: int | None = None) -> DataFrame:
+    source = spark.readStream.schema(batch(spark, sf_dir).schema)
+    source = source.option("maxFilesPerTrigger", files) if files else source
+    # A table is one file beside the others, or a folder of files.
+    one = not list(Path(sf_dir.removeprefix("file://"), "events.parquet").glob("*.parquet"))
+    source = source.option("pathGlobFilter", "events.parquet").parquet(sf_dir) if one else source.parquet(f"{sf_dir}/events.parquet")
+    return source.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tumbling(events: DataFrame, size: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
@@ -40,19 +46,25 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 def _drained(df: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over what its source holds now; results are files, not driver memory."""
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="rasterloom-stream-")
-    base = f"{base}/stream-{uuid.uuid4().hex[:12]}"
+    base = shared_folder(spark, "stream")
+    epochs: list[str] = []
 
     def keep(part: DataFrame, epoch: int) -> None:
-        part.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
+        path = f"{base}/out/epoch={epoch}"
+        part.write.mode("overwrite").parquet(path)
+        if mode == "complete":  # each epoch holds the whole result
+            epochs.clear()
+        if path not in epochs:
+            epochs.append(path)
 
     q = df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{base}/out/*")
+    return spark.read.schema(df.schema).parquet(*epochs) if epochs else spark.createDataFrame([], df.schema)
 
 
-def streamed(spark: SparkSession, sf_dir: str, plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    out = _drained(plan(_stream(spark, sf_dir)), "complete")
+def streamed(spark: SparkSession, sf_dir: str, plan: Callable[[DataFrame], DataFrame], files: int | None = None) -> DataFrame:
+    """The plan over the events as a stream. files: how many a trigger takes at most."""
+    out = _drained(plan(_stream(spark, sf_dir, files)), "complete")
     return out.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in out.dtypes])
 
 
