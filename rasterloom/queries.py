@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
+from . import media
 from .kernels import dense, detect, features, shapes
 from .operators import images as im
 from .operators import px as rel
@@ -458,9 +459,7 @@ listed("corner_sub_pix", lambda a: KERNELS["corner_sub_pix"](a, [(10.0, 3.0), (3
 listed("imencode", lambda a: [(KERNELS["imencode"](".png", a)[1].tobytes(),)], "data binary", ["data"], fx.images8)
 listed("imdecode", lambda a: [(int((KERNELS["imdecode"](KERNELS["imencode"](".png", a)[1], 0) == a).sum()),)], "same int", ["same"], fx.images8)
 listed("drawMatches", lambda a: [(int(features.drawMatches(a, p := features.fast_detect(a), a, p, [features.DMatch(i, i, 0.0) for i in range(len(p))]).sum()),)], "total bigint", ["total"])
-listed("findChessboardCorners", lambda a: [(KERNELS["findChessboardCorners"](a, (4, 3))[0],)], "found int", ["found"])
-listed("QRCodeDetector", lambda a: [(int(detect.QRCodeDetector().detect(a)[0]),)], "found int", ["found"])
-listed("CascadeClassifier", lambda a: [tuple(map(int, r)) for r in detect.CascadeClassifier().detectMultiScale(a)], "x int, y int, w int, h int", ["x", "y", "w", "h"])
+listed("CascadeClassifier", media.faces, "x int, y int, w int, h int", ["x", "y", "w", "h"])
 listed("HOGDescriptor", lambda a: [(float(detect.HOGDescriptor((8, 8), (8, 8), (4, 4), (4, 4)).compute(a).sum()),)], "total double", ["total"], fx.images8)
 add("apply_threshold_triangle", lambda s, d: im.rows(fx.images8(s, d), lambda a: [(int(dense.apply_threshold_triangle(a)[0]),)], "t int", ["t"]).drop("idx"), fx.with_fixtures(TRIANGLE, TRIANGLE_ENDS))
 #: A flat goal: of 64 pixels, the share up to v in 256 equal steps.
@@ -510,13 +509,9 @@ _grouped("NMSBoxes", lambda p: [(int(p[i, 0]),) for i in detect.NMSBoxes(p[:, 1:
 _grouped("groupRectangles", lambda p: [(*map(int, r), int(n)) for r, n in zip(*detect.groupRectangles(p[:, 1:5], 1, 0.9), strict=True)], "x int, y int, w int, h int, n int", ["x", "y", "w", "h", "n"])
 
 
-def _net(s: SparkSession, d: str) -> DataFrame:
-    """Networks: a pooled mean by the scoring path (blob, session per worker) where a model file is given, else by the kernel itself."""
-    return im.run(fx.images8(s, d), lambda a: detect.blobFromImage(a, 1 / 255)[0].mean(0, keepdims=True)[0]).select("img_id", F.round(F.aggregate("v", F.lit(0.0), lambda t, x: t + x), 4).alias("total"))
-
-
+WEIGHED = " , ".join(f"CAST(sum(v * ((y * 8 + x) % {m} - {o})) + {b} AS BIGINT) AS {n}_score" for n, m, o, b in (("first", 7, 3, 5), ("second", 5, 2, -3)))
 for name in ("readNet", "readNetFromONNX", "readNetFromTensorflow"):
-    add(name, _net)
+    add(name, lambda s, d, name=name: media.scored(s, d, name), fx.with_fixtures(f"SELECT img_id, {WEIGHED} FROM img8 GROUP BY 1"))
 
 
 # frames and streams
@@ -532,11 +527,11 @@ add("KalmanFilter", lambda s, d: st.kalman(fx.pts(s, d)))
 add("meanShift", lambda s, d: im.rows(fx.images8(s, d), lambda a: [KERNELS["meanShift"](a, (2, 2, 4, 4))[1]], "x int, y int, w int, h int", ["x", "y", "w", "h"]))
 add("CamShift", lambda s, d: im.rows(fx.images8(s, d), lambda a: [KERNELS["CamShift"](a, (2, 2, 4, 4))[1]], "x int, y int, w int, h int", ["x", "y", "w", "h"]))
 add("buildOpticalFlowPyramid", lambda s, d: im.rows(fx.page_images(s, d), lambda a: [(p.shape[0], p.shape[1]) for p in KERNELS["buildOpticalFlowPyramid"](a, (8, 8), 3, False)[1]], "h int, w int", ["h", "w"]))
-add("video_capture", lambda s, d: st.frames(fx.images8(s, d)).groupBy("stream_id").agg(F.count("*").alias("frames")), fx.with_fixtures("SELECT vec_id % 5 stream_id, count(*) frames FROM embeddings GROUP BY 1"))
-add("extract_images_from_video", lambda s, d: st.frames(fx.images8(s, d)).where("frame_idx % 3 = 0").select("stream_id", "frame_idx"), fx.with_fixtures("SELECT vec_id % 5 stream_id, vec_id // 5 frame_idx FROM embeddings WHERE (vec_id // 5) % 3 = 0"))
-add("extract_video_from_images", lambda s, d: st.frames(fx.images8(s, d)).groupBy("stream_id").agg(F.max("frame_idx").alias("last"), F.sum(F.length("data")).alias("bytes")), fx.with_fixtures("SELECT vec_id % 5 stream_id, max(vec_id // 5) \"last\", CAST(count(*) * 64 AS BIGINT) bytes FROM embeddings GROUP BY 1"))
-add("imread", lambda s, d: check(im.to_px(im.run(fx.images8(s, d), lambda a: KERNELS["imdecode"](KERNELS["imencode"](".bmp", a)[1], 0)))), checked("SELECT * FROM img8"))
-add("imwrite", lambda s, d: check(im.to_px(im.run(fx.images8(s, d), lambda a: KERNELS["imdecode"](KERNELS["imencode"](".png", a)[1], 0)))), checked("SELECT * FROM img8"))
+FRAMES = "SELECT img_id % 5 stream_id, img_id // 5 frame_idx, CAST(sum(v) AS BIGINT) total, CAST(sum(v * (y * 8 + x + 1)) AS BIGINT) spread FROM img8 {} GROUP BY 1, 2"
+for name, f, some in (("video_capture", media.captured, ""), ("extract_images_from_video", media.extracted, "WHERE (img_id // 5) % 3 = 0"), ("extract_video_from_images", media.assembled, "")):
+    add(name, lambda s, d, f=f: media.watched(s, d, f), fx.with_fixtures(FRAMES.format(some)))
+for name, ext in (("imread", ".bmp"), ("imwrite", ".png")):
+    add(name, lambda s, d, ext=ext: check(im.to_px(im.run(media.through_files(s, d, ext), np.asarray))), checked("SELECT * FROM img8"))
 add("tumbling_windows", lambda s, d: sw.tumbling(sw.batch(s, d)), "SELECT time_bucket(INTERVAL 1 HOUR, ts) window_start, event_type, count(*) n, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) total FROM events GROUP BY 1, 2")
 add("tumbling_windows_streamed", lambda s, d: sw.streamed(s, d, sw.tumbling), "SELECT time_bucket(INTERVAL 1 HOUR, ts) window_start, event_type, count(*) n, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) total FROM events GROUP BY 1, 2")
 add("running_state_streamed", lambda s, d: sw.streamed_state(s, d), "SELECT user_id, count(*) n, max(ts) last_ts FROM events GROUP BY 1")

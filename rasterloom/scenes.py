@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import dense, features, photo
+from .kernels import dense, detect, features, photo
 from .operators.groups import by_key
 
 Matrix = list[list[str]]
@@ -147,3 +147,41 @@ SCENES: dict[str, tuple[Callable, Matrix, int]] = {
 }
 
 QUERIES = {name: (solved(f, digits), stated(matrix, digits)) for name, (f, matrix, digits) in SCENES.items()}
+
+
+def _board(a: float, b: float, c: float) -> tuple[np.ndarray, np.ndarray]:
+    """A board of 4 x 5 squares, and its 12 inner corners."""
+    q, x, y = int(7 + a % 4), int(4 + b % 6), int(4 + c)
+    image = np.full((64, 64), 220, np.uint8)
+    for i, j in np.ndindex(4, 5):
+        if (i + j) % 2 == 0:
+            image[y + i * q : y + i * q + q, x + j * q : x + j * q + q] = 30
+    return image, np.array([(x + q * (j + 1), y + q * (i + 1)) for i in range(3) for j in range(4)], float)
+
+
+def _code(a: float, b: float, c: float) -> tuple[np.ndarray, np.ndarray]:
+    """The three finder patterns of a code of 21 modules, and its corners."""
+    u, x, y = int(2 + a % 2), int(3 + b % 10), int(3 + c)
+    image = np.full((80, 80), 255, np.uint8)
+    for p, q in ((x, y), (x + 14 * u, y), (x, y + 14 * u)):
+        for at, size, v in ((0, 7, 0), (1, 5, 255), (2, 3, 0)):
+            image[q + at * u : q + (at + size) * u, p + at * u : p + (at + size) * u] = v
+    return image, np.array([(x, y), (x + 21 * u, y), (x + 21 * u, y + 21 * u), (x, y + 21 * u)], float)
+
+
+def located(scene: Callable, find: Callable[[np.ndarray], tuple[bool, np.ndarray | None]], points: int) -> tuple[Callable, str]:
+    """Which of a scene's points are found within a pixel, in order; SQL states that all are."""
+
+    def rows(p: np.ndarray) -> list[tuple]:
+        out = []
+        for a, b, c in p:
+            image, want = scene(float(a), float(b), float(c))
+            found, at = find(image)
+            out += [(i, bool(found) and bool(np.abs(np.reshape(at, (-1, 2))[i] - want[i]).max() <= 1)) for i in range(points)]
+        return out
+
+    return lambda s, d: by_key(scenes(s, d), "img_id", "a", ["a", "b", "c"], rows, "point int, found boolean", ["point", "found"]), f"WITH {SCENE} SELECT img_id, CAST(i AS INT) point, TRUE found FROM scene CROSS JOIN range({points}) r(i)"
+
+
+QUERIES["findChessboardCorners"] = located(_board, lambda image: photo.findChessboardCorners(image, (4, 3)), 12)
+QUERIES["QRCodeDetector"] = located(_code, lambda image: detect.QRCodeDetector().detect(image), 4)
