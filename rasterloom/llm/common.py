@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import os
 import tempfile
@@ -41,11 +42,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's folder in spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The cluster's folder in spark.checkpoint.dir; one of this machine only where that is unset and Spark runs on this machine alone, as in tests."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = getattr(spark.sparkContext, "_rasterloom_dir", None)
         if not found:
+            if not spark.sparkContext.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
             found = spark.sparkContext._rasterloom_dir = "file://" + tempfile.mkdtemp(prefix="rasterloom-shared-")
     return found
 
@@ -105,6 +108,16 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK) ->
             to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at), data[off[at] : off[to]], off[at : to + 1] - off[at]
             at = to
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back: a worker is used again by other stages, and the driver by other fits."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library keeps it
+        pass
 
 
 def arrow_schema(df: DataFrame) -> str:

@@ -36,7 +36,7 @@ from . import bpe, common, scan, suffix
 
 GRAM = 48
 PLACE = 20  # bits of a place in a part of a text; longer texts come in parts, which share out the windows
-SHARD = 2 << 20  # bytes of contents sorted at a time, more only for a single key
+SHARD = 1 << 20  # bytes of contents sorted at a time, more only for a single key
 IN_MEMORY = 4 << 20  # bytes beyond which a shard's text, queues and results go to the task's disk
 HOT = 64 << 20  # bytes of contents beyond which a key is split
 SPLITS = 3  # rounds of other keys for windows under hot ones
@@ -184,6 +184,7 @@ class Shard:
         finally:
             if self.scratch:
                 shutil.rmtree(self.scratch, ignore_errors=True)
+            common.release()
 
 
 def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -216,7 +217,7 @@ def _keyed(narrow: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFra
 
     def cut(send: object, limited: bool, own_key: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch, data, off in common.chunks(batches, "body", 1 << 20):
+            for batch, data, off in common.chunks(batches, "body", 1 << 19):
                 only = None
                 if limited:
                     spans = batch.column(3)

@@ -219,6 +219,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 30
         _, _, first, p = field.tag(data, off)
         x.append(document_features(p, first))
     field.document = sample.logistic(np.concatenate(x), y.astype(float), weight)
+    del seen, parts, table
+    common.release()
     return field
 
 

@@ -55,6 +55,31 @@ def test_stages(spark):
         before = after
 
 
+def test_odd_and_empty_tables(spark):
+    """Null in every column, empty and very long texts, repeated rows, and columns named like the stages' own."""
+    names = ["row", "toxic_score", "lang_pred", "lang_score", "was_null", "__gone", "text_hash", "kept", "component_id", "piece", "body", "was"]
+    long = "some words of a long story " * 20_000
+    texts = ["", None, " ", "plain words that say little of anything at all", long, "x" * 4000, "same text twice in a row", "same text twice in a row"]
+    rows = [(i, t, "en", "s", 1, *range(len(names))) for i, t in enumerate(texts)]
+    rows += [rows[3], tuple([None] * (5 + len(names))), (3, "another text with the same id", None, None, None, *[None] * len(names))]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{n}` int" for n in names)
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        many = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = common.written(stage(spark, docs, SF), name)
+            if name == "packing":
+                assert (out.count() == 0) == (many == 0)
+                continue
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes
+            got = collections.Counter(r.text for r in out.collect())
+            if many and name == "near_duplicates":
+                assert got == collections.Counter({"": 1, None: 2, " ": 1, **{t: 1 for t in texts if t and t.strip()}, "another text with the same id": 1})
+            if many and name == "repeated_text":
+                assert got["x" * 4000] == got[long] == 0 and got[""] == 3 and got[None] == 2
+            if many and name == "language":
+                assert not {"", None, " "} & got.keys()
+
+
 def test_one_row_of_every_class_stays(spark):
     x, y, z = (" ".join(f"{w}{i}" for i in range(60)) for w in "xyz")
     near = z.replace("z30", "other")
