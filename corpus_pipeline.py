@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and is written as Parquet and read
 again as the next one's docs. All but the last return the columns of documents.
+
+Every stage takes an empty table and gives an empty one, takes texts of any length whole, and lets columns of any name
+pass, since its own take free names. This file needs the subpackage rasterloom.llm, and is of no use without it.
 """
 
 from __future__ import annotations
@@ -18,14 +21,17 @@ LANGUAGE = 0.3  # documents whose language scores less go: with four languages,
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the field, trained on the labelled ones, scores as toxic."""
+    """Drops documents that the field, trained on the labelled ones, scores as toxic.
+
+    A null or empty text has the score of no tokens. Rows of equal text go or stay together; ids play no part.
+    """
     field = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
     score = common.free_name(docs, "toxic_score")
     return toxicity.tag(docs, field, score=score, spans=None).where(F.col(score) < TOXIC).drop(score)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter or of no discernible language."""
+    """Drops documents without a letter (null and empty texts among them) or of no discernible language. Rows of equal text go or stay together."""
     pred, score = common.free_name(docs, "lang_pred"), common.free_name(docs, "lang_score")
     told = langid.identify(docs, langid.fit(docs), pred=pred, score=score)
     return told.where((F.col(pred) != "und") & (F.col(score) >= LANGUAGE)).drop(pred, score)
@@ -35,6 +41,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keeps one row of each class, that of least id (null comes last): five-word shingles, similarity 0.8 or more.
 
     Rows are told apart by a number of their own, so repeated rows and ids, and rows without an id, are members like others.
+    Of equal rows one stays. A text without words, null or empty, is like no other and stays.
     """
     row, tie = common.free_name(docs, "row"), F.xxhash64(*docs.columns)
     rows = common.written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
@@ -48,16 +55,21 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeated_text_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes byte strings of 200 and more that start elsewhere too. Characters cut in two become U+FFFD; a null text stays null."""
+    """Removes byte strings of 200 and more that start elsewhere too. Characters cut in two become U+FFFD; a null text stays null.
+
+    Rows of equal text lose all that they share; after the stage before, there are none. n_chars counts what is left.
+    """
     was = common.free_name(docs, "was_null")
-    left = repeats.remove(docs.withColumn(was, F.col("text").isNull()), length=200)
-    text = F.when(~F.col(was), F.make_valid_utf8(F.col("kept").cast("string")))
-    changed = left.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
+    marked = docs.withColumn(was, F.col("text").isNull())
+    kept, removed = (common.free_name(marked.drop("text"), c) for c in ("kept", "n_removed"))
+    left = repeats.remove(marked, length=200)
+    text = F.when(~F.col(was), F.make_valid_utf8(F.col(kept).cast("string")))
+    changed = left.withColumn("text", text).withColumn("n_chars", F.when(F.col(removed) > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return changed.select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the tokenised texts into sequences of at most 1024 tokens."""
+    """Packs the tokenised texts into sequences of at most 1024 tokens. A null or empty text is its end id alone; repeated rows are packed each for itself."""
     return packing.pack_texts(docs.select("doc_id", "text"))
 
 
