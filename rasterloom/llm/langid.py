@@ -115,6 +115,8 @@ def fit(docs: DataFrame, lang: str = "lang", id: str = "doc_id", text: str = "te
     mean, goal = (phi * weight[:, None]).mean(0), (target * weight[:, None]).mean(0)
     a = (phi - mean) * weight[:, None]
     w = np.linalg.solve(a.T @ (phi - mean) + ridge * len(y) * np.eye(phi.shape[1]), a.T @ (target - goal))
+    del k, a, parts, table
+    common.release()
     return Model(languages, marks, (nystroem @ w).astype(np.float32), goal - mean @ w)
 
 

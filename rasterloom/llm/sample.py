@@ -46,6 +46,7 @@ def texts(docs: DataFrame, labels: DataFrame, label: str, most: int, folds: int,
     # Copies of one id would outgrow the bound.
     table = found.limit(8 * most).toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
     y = table.column("y").to_numpy()
+    common.release()
     return table.select(["text"]), y, np.array([counts.get(c, 0) / max(1, sampled[c]) for c in (0, 1)])[y]
 
 

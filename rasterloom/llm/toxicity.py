@@ -194,7 +194,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 30
     field = Field(np.zeros(1 << BITS), -4.0, np.array([[0.9, 0.1], [0.5, 0.5]]), np.array([0.9, 0.1]), np.zeros(4))
     squares, chain_squares = np.full(1 << BITS, 1e-2), np.full(6, 1.0)
     chain = np.log(np.concatenate([field.transition.ravel(), field.start]))  # potentials of the chain, as logarithms
-    seen = [(own, *token_features(data, off)[2:]) for data, off, own in parts]
+    del pairs
+    seen = []
+    for data, off, own in parts:
+        seen.append((own, *token_features(data, off)[2:]))
+        common.release()
     # A small sample is one part: it takes more rounds to as many steps.
     for r in range(max(rounds, -(-steps // max(1, len(seen))))):
         for own, first, f in seen:
@@ -213,6 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 30
             own = np.concatenate([c.ravel() for c in chain_gradient(p, pair, truth, begins)]) - 1e-3 * chain
             chain_squares += own * own
             chain += 0.2 * own / np.sqrt(chain_squares)
+            del p, pair, error, truth, g, emission, doc, begins  # the driver's memory is small
             field.transition, field.start = np.exp(chain[:4]).reshape(2, 2), np.exp(chain[4:])
     x = []
     for data, off, _ in parts:
