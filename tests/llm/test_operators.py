@@ -481,3 +481,80 @@ def test_sample_bound_leaves_threshold_and_odds(spark):
     assert abs(1 / (1 + np.exp(-odds)) - np.mean([bad[r.doc_id] for r in whole])) < 1e-6
     z = rng.random(50)
     assert np.isclose(sample.quantile(z, np.ones(50), 0.3), np.quantile(z, 0.3))
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_neardup_buckets_miss_no_pair_at_the_limit(percent):
+    """Pairs just at the limit, of 10 to 500 shingles: each shares a bucket."""
+    rng = np.random.default_rng(percent)
+    for size in (10, 39, 41, 60, 120, 500):
+        missed = 0
+        for _ in range(300):
+            both = -(-percent * size // 100)
+            x = rng.integers(0, 2**63, size, dtype=np.uint64)
+            a, b = np.sort(x), np.sort(x[:both])
+            sets, at = np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])
+            keys, off = neardup.bucket_keys(sets, at, percent)
+            missed += not set(keys[: off[1]].tolist()) & set(keys[off[1] :].tolist())
+        assert missed == 0
+
+
+def test_pair_slope_equals_numeric_slope():
+    rng = np.random.default_rng(1)
+    w, good, bad = rng.normal(size=12), *(rng.integers(0, 4, (5, 3)) + [0, 4, 8] for _ in range(2))
+    likelihood = lambda w: np.mean([-np.log1p(np.exp(w[b].sum() - w[g].sum())) for g, b in zip(good, bad, strict=True)])
+    slope = [(likelihood(w + d) - likelihood(w - d)) / 2e-6 for d in 1e-6 * np.eye(12)]
+    assert np.allclose(quality.pair_slope(w, good, bad), slope, atol=1e-8)
+
+
+def test_language_kernel_and_ridge_by_hand(spark):
+    """The kernel from Python sets of hashed n-grams; the machines' outputs from the closed form on them."""
+    texts = ["the cat sat on the mat", "le chat est sur la table", "der hund und die katze", "a dog and a cat", "un chien et un chat", "ein kleiner hund", "the dog barked", "la porte est verte"]
+    langs = ["en", "fr", "de", "en", "fr", "de", "en", "fr"]
+    data, off = np.frombuffer("".join(texts).encode(), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    bits = langid.presence(data, off)
+    place = lambda g: ((int.from_bytes(g.encode(), "big") * 0x9E3779B1 + (len(g) * 0x85EBCA6B & 0xFFFFFFFF)) & 0xFFFFFFFF) >> 20
+    sets = [{place(t[i : i + n]) for n in (1, 2, 3) for i in range(len(t) - n + 1)} for t in texts]
+    assert [set(np.flatnonzero(b).tolist()) for b in bits] == sets
+    kernel = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(zip(texts, langs, strict=True))], "doc_id bigint, text string, lang string")
+    model = langid.fit(docs, folds=1, held=2)
+    got = np.concatenate([model.kernel(bits)]) @ model.weights + model.offset
+    # Kernel ridge on all documents as landmarks, weighted by class, the mean taken off: the same outputs.
+    y = np.array([[1.0 if lang == c else -1.0 for c in model.languages] for lang in langs])
+    size = np.array([langs.count(lang) for lang in langs])
+    weight = 1 / size
+    weight /= weight.mean()
+    values, vectors = np.linalg.eigh(kernel)
+    phi = kernel @ (vectors / np.sqrt(values))
+    mean, goal = (phi * weight[:, None]).mean(0), (y * weight[:, None]).mean(0)
+    a = (phi - mean) * weight[:, None]
+    w = np.linalg.solve(a.T @ (phi - mean) + 1e-3 * len(y) * np.eye(len(y)), a.T @ (y - goal))
+    assert np.allclose(got, phi @ w + goal - mean @ w, atol=1e-3)
+
+
+def test_first_tree_equals_an_exhaustive_split():
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(0, 6, (200, 3)).astype(float), rng.integers(0, 2, 200).astype(float)
+    t = urls.Trees(x, y, rounds=1, depth=1)
+    p = y.mean()
+    g, h = y - p, np.full(len(y), p * (1 - p))
+    gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+    best = max((gain(x[:, f] <= v) + gain(x[:, f] > v), f, v) for f in range(3) for v in range(5))
+    split, cut, value = t.trees[0]
+    right = x[:, split[0]] > t.edges[split[0]][cut[0]] if cut[0] < len(t.edges[split[0]]) else np.zeros(200, bool)
+    assert np.isclose(gain(~right) + gain(right), best[0])
+    assert np.allclose(value, [g[~right].sum() / (h[~right].sum() + 1), g[right].sum() / (h[right].sum() + 1)])
+
+
+def test_equal_texts_have_equal_scores(spark, odd):
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    field, ranking, model = toxicity.fit(docs, labels), quality.fit(docs, labels), langid.fit(docs)
+    whole = odd.drop("score", "ids", "kept")
+    for rows in (whole, whole.repartition(5)):
+        for out, column in ((toxicity.tag(rows, field, spans=None), "score"), (quality.rank(rows, ranking), "score"), (langid.identify(rows, model), "score")):
+            seen = collections.defaultdict(set)
+            for r in out.collect():
+                seen[r.text or ""].add(r[column])
+            assert all(len(s) == 1 and 0 <= min(s) <= 1 for s in seen.values())
