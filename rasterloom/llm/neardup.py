@@ -2,16 +2,17 @@
 
 A document's set holds the 64-bit hashes of its distinct word shingles. One permutation puts each hash into one of
 128 bins by its top bits; the least hash of a bin is its value, and empty bins borrow from bins that universal
-hashing picks (optimal densification). Four bins make a band, 32 bands give 32 bucket keys. Small sets carry
-prefix keys instead: the least n - ceil(t n) + 1 hashes, of which two linked sets must share one.
+hashing picks (optimal densification). Four bins make a band, 32 bands give 32 bucket keys. Small sets have prefix
+keys instead: in any one order of all shingles, two linked sets must share one of their first n - ceil(t n) + 1. The
+order is by rarity among small sets, so a line that very many of them share makes no bucket of all those.
 
 Documents of equal sets form a class first; only its smallest id goes on. Buckets give star-shaped candidate edges:
 the smallest member is the hub, each other member is compared with it, so a bucket of m gives m - 1 pairs. That
-alone could miss a link between two members that differ from the hub. So where a bucket's members don't all end up
-in one component, the members that don't link with the hub are compared with those they may still link with:
-sizes must fit, and Jaccard distance is a metric, so members whose distances from the hub differ by more than the
-limit can't link. All links are confirmed on full sets. Components come from min-label propagation with pointer
-jumping.
+alone could miss a link between two members that differ from the hub. So the members of buckets that don't end up in
+one component are joined by prefixes of their whole sets, rarest shingles first; shingles that only one component has
+come before all others, since links inside a component are not wanted any more. Where the first shared shingle leaves
+too few behind it in either set, the two can't link, so few pairs are left. All links are confirmed on full sets.
+Components come from min-label propagation with pointer jumping.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing; rows
 that share an id count as one document; ties go to the smaller id; an empty table gives an empty table.
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe, common, scan
@@ -85,10 +86,10 @@ def signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def bucket_keys(sets: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket keys of all texts one after another, and n+1 offsets."""
+def bucket_keys(sets: np.ndarray, at: np.ndarray, percent: int, small: int = SMALL) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket keys of all texts one after another, and n+1 offsets; prefix keys by least hashes for sets up to `small`."""
     size = np.diff(at)
-    prefix = np.where((size > 0) & (size <= SMALL), size - -(-percent * size // 100) + 1, 0)
+    prefix = np.where((size > 0) & (size <= small), size - -(-percent * size // 100) + 1, 0)
     big = np.flatnonzero(size >= max(1, SMALL * percent // 100))
     counts = prefix.copy()
     counts[big] += BANDS
@@ -112,16 +113,63 @@ def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def sketch(df: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, text) to doc_id, n, h1, h2 (a 128-bit digest of the set) and keys."""
+    """(doc_id, text) to doc_id, n, h1, h2 (a 128-bit digest of the set), keys of bands, and the whole set of a small one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, off in common.chunks(batches, "text"):
             sets, at = shingles(data, off, k)
-            keys, where = bucket_keys(sets, at, percent)
-            columns = [batch.column(batch.schema.get_field_index("doc_id")), pa.array(np.diff(at)), pa.array(_sums(scan.mix(sets), at)), pa.array(_sums(scan.mix(sets ^ scan.C3), at)), bpe.list_of(keys, where)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "h1", "h2", "keys"])
+            keys, where = bucket_keys(sets, at, percent, small=0)
+            size = np.diff(at)
+            few = np.where(size <= SMALL, size, 0)
+            whole = sets[scan.ragged(at[:-1], few)].view(np.int64), np.concatenate([[0], np.cumsum(few)])
+            columns = [batch.column(batch.schema.get_field_index("doc_id")), pa.array(size), pa.array(_sums(scan.mix(sets), at)), pa.array(_sums(scan.mix(sets ^ scan.C3), at)), bpe.list_of(keys, where), bpe.list_of(*whole)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "h1", "h2", "keys", "small"])
 
-    return df.mapInArrow(run, "doc_id bigint, n bigint, h1 bigint, h2 bigint, keys array<bigint>")
+    return df.mapInArrow(run, "doc_id bigint, n bigint, h1 bigint, h2 bigint, keys array<bigint>, small array<bigint>")
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row for each wanted id. A semi-join by broadcast keeps other texts out of the shuffle; beyond 8 MB of ids they are shuffled."""
+    return docs.join(F.broadcast(ids) if ids.count() <= 1_000_000 else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def tokens(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """Texts of (cid, comp) to a row (cid, n, comp, h) for every shingle of their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, off in common.chunks(batches, "text"):
+            sets, at = shingles(data, off, k)
+            size = np.diff(at)
+            row = np.repeat(np.arange(batch.num_rows), size)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(size[row]), batch.column(1).take(row), pa.array(sets.view(np.int64))], names=["cid", "n", "comp", "h"])
+
+    texts = _texts(docs, wanted.select(F.col("cid").alias("doc_id"))).withColumnRenamed("doc_id", "cid")
+    return texts.join(wanted, "cid").select("cid", "comp", "text").mapInArrow(run, "cid bigint, n bigint, comp bigint, h bigint")
+
+
+def prefixes(rows: DataFrame, percent: int) -> DataFrame:
+    """(cid, n, comp, h), a row for every shingle, to the first n - ceil(t n) + 1 of each set with their places `at`.
+
+    Shingles of one component alone come first in a set, then the others by rarity. The former are left out, so two
+    linked sets of different components share a row of this result, the first of which has their whole intersection
+    behind it in both.
+    """
+    same = Window.partitionBy("h")
+    met = rows.select("*", F.count("*").over(same).alias("df"), F.min("comp").over(same).alias("x"), F.max("comp").over(same).alias("y")).where("x != y")
+    sets = met.groupBy("cid", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs"))
+    sets = sets.withColumn("alone", F.col("n") - F.size("hs")).withColumn("first", F.expr(f"cast(n - ({percent} * n + 99) div 100 + 1 - alone as int)"))
+    return sets.where("first > 0").select("cid", "n", "comp", "alone", F.posexplode(F.slice("hs", F.lit(1), F.col("first"))).alias("i", "x")).select(F.col("x.h").alias("h"), "cid", "n", "comp", (F.col("i") + F.col("alone")).alias("at"))
+
+
+def candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components, in prefixes' rows, that may link."""
+    t = 100 + percent
+    # What lies behind the first shared shingle holds the intersection, so the smaller set has that shingle early.
+    x = rows.where((F.col("n") - F.col("at")) * t >= F.col("n") * 2 * percent).select("h", *(F.col(c).alias(f"x{c}") for c in ("cid", "n", "comp", "at")))
+    need = (F.col("xn") + F.col("n")) * percent
+    may = (F.col("xcomp") != F.col("comp")) & (F.struct("xn", "xcid") < F.struct("n", "cid")) & _fits(F.col("xn"), F.col("n"), percent)
+    pairs = x.join(rows, "h").where(may & ((F.col("xn") - F.col("xat")) * t >= need) & ((F.col("n") - F.col("at")) * t >= need))
+    return pairs.select(F.least("xcid", "cid").alias("a"), F.greatest("xcid", "cid").alias("b")).distinct()
 
 
 def confirm(docs: DataFrame, edges: DataFrame, k: int) -> DataFrame:
@@ -132,9 +180,7 @@ def confirm(docs: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     spark = docs.sparkSession
     groups = edges.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("groups"))
     ids = edges.select(F.col("a").alias("doc_id")).union(edges.select(F.col("b").alias("doc_id"))).distinct()
-    few = ids.count()
-    # A semi-join by broadcast keeps other texts out of the shuffle; beyond 8 MB of ids they are shuffled.
-    wanted = docs.join(F.broadcast(ids) if few <= 1_000_000 else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    wanted = _texts(docs, ids)
     hubs = groups.join(wanted, groups.a == wanted.doc_id).select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(None).cast("bigint").alias("b"), "text")
     members = edges.join(groups, "a").join(wanted, F.col("b") == F.col("doc_id")).select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"), "b", "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -187,29 +233,23 @@ def classes(df: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, p
     common.ship(df.sparkSession)
     docs = df.select(F.col(id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     sig = common.written(sketch(docs, k, percent), "sketch")
-    sets = common.written(sig.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("cid"), F.first("keys").alias("keys")), "classes")
+    sets = common.written(sig.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("cid"), F.first("keys").alias("keys"), F.first("small").alias("small")), "classes")
     # Buckets of two members at least, and their hubs.
-    place = sets.select(F.explode("keys").alias("key"), "cid", "n")
+    rare = prefixes(sets.select("cid", "n", F.col("cid").alias("comp"), F.explode("small").alias("h")), percent)
+    place = sets.select(F.explode("keys").alias("key"), "cid", "n").union(rare.select(F.xxhash64("h").alias("key"), "cid", "n"))
+    place = common.written(place, "place")
     shared = place.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", F.col("hub.cid").alias("hub"), F.col("hub.n").alias("hub_n"))
     member = common.written(place.join(shared, "key"), "buckets")
+    common.forget(place)
     star = member.where("cid != hub").where(_fits(F.col("n"), F.col("hub_n"), percent)).select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
     told = common.written(confirm(docs, common.written(star, "star"), k), "told")
     link = F.col("inter") * 100 >= F.col("both") * percent
     comp = components(told.where(link))
     # Buckets whose members aren't all in one component by now.
-    at = member.join(comp, member.cid == comp.id, "left").withColumn("comp", F.coalesce("comp", "cid")).drop("id")
-    at = at.join(told.select(F.col("a").alias("hub"), F.col("b").alias("cid"), (1 - F.col("inter") / F.col("both")).alias("d"), link.alias("linked")), ["hub", "cid"], "left")
-    # Sizes alone bound the distance of a member that wasn't compared; the hub is at 0 from itself.
-    far = 1 - F.least("n", "hub_n") / F.greatest("n", "hub_n")
-    at = at.withColumn("known", F.col("d").isNotNull() | (F.col("cid") == F.col("hub"))).withColumn("d", F.when(F.col("cid") == F.col("hub"), F.lit(0.0)).otherwise(F.coalesce("d", far))).withColumn("linked", F.coalesce("linked", F.lit(False)) | (F.col("cid") == F.col("hub")))
+    at = member.join(comp, member.cid == comp.id, "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
     open_ = at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
-    at = common.written(at.join(open_, "key").select("key", "hub", "cid", "n", "comp", "d", "known", "linked"), "open")
-    x = at.where("not linked").select("key", F.col("cid").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"), F.col("d").alias("ad"), F.col("known").alias("ak"))
-    y = at.where("cid != hub").select("key", F.col("cid").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"), F.col("d").alias("bd"), F.col("known").alias("bk"), "linked")
-    limit = 1 - percent / 100 + 1e-9
-    near = F.when(F.col("ak") & F.col("bk"), F.abs(F.col("ad") - F.col("bd")) <= limit).when(F.col("bk"), F.col("ad") - F.col("bd") <= limit).when(F.col("ak"), F.col("bd") - F.col("ad") <= limit).otherwise(F.lit(True))
-    pairs = x.join(y, "key").where((F.col("ac") != F.col("bc")) & (F.col("linked") | (F.col("a") < F.col("b"))) & _fits(F.col("an"), F.col("bn"), percent) & near)
-    pairs = common.written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
+    left = common.written(at.join(open_, "key", "left_semi").select("cid", "comp").distinct(), "open")
+    pairs = common.written(candidates(common.written(prefixes(tokens(docs, left, k), percent), "prefixes"), percent), "rest")
     if pairs.limit(1).count():
         more = common.written(confirm(docs, pairs, k), "more")
         comp = components(told.where(link).select("a", "b").union(more.where(link).select("a", "b")))

@@ -558,3 +558,29 @@ def test_equal_texts_have_equal_scores(spark, odd):
             for r in out.collect():
                 seen[r.text or ""].add(r[column])
             assert all(len(s) == 1 and 0 <= min(s) <= 1 for s in seen.values())
+
+
+def test_neardup_compares_few_pairs_under_one_line(spark, monkeypatch):
+    """A line that all short documents share, and a crowd around one long document that mostly doesn't link: pairs stay few, links stay all."""
+    rng = np.random.default_rng(11)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    line, base = word(9), word(200)
+    texts = [[*line, *word(4)] for _ in range(300)]
+    texts += [[*t[:-1], "new"] for t in texts[:20]]
+    for i in range(120):
+        w = list(base)
+        for j in rng.choice(200, 2 + i % 20, replace=False):
+            w[j] = f"v{rng.integers(0, 10**6)}"
+        texts.append(w)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")
+    compared, confirm = [], neardup.confirm
+
+    def counted(docs, edges, k):
+        compared.append(edges.count())
+        return confirm(docs, edges, k)
+
+    monkeypatch.setattr(neardup, "confirm", counted)
+    sets = _sets(df.collect(), 3)
+    want = _components(sets, 85)
+    assert {r.doc_id: r.component_id for r in neardup.classes(df, k=3, percent=85).collect()} == want
+    assert sum(compared) < 3 * len(texts)
