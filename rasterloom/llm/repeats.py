@@ -4,7 +4,9 @@ Every window of `length` bytes has a key: the least hash among its 48-byte grams
 windows are sharded by key, and runs of consecutive windows with one key travel as one segment. A key that occurs in
 one segment alone, with its gram once, can't hold a repeat; segments of equal content repeat wholly. Only contents
 that share a key with other contents (or meet their own key's gram twice) are sent, once each, to the shard of their
-key, where the suffix array with common-prefix values (suffix.py) tells which windows start elsewhere too. So the
+key, where the suffix array with common-prefix values (suffix.py) tells which windows start elsewhere too. Before a
+shard in memory is sorted, contents none of whose windows shares its hash with another of the shard leave it, and the
+others lose what lies before their first such window and after their last: equal windows have equal hashes. So the
 result is that of one suffix array over the whole corpus, while what is sorted is a small part of it.
 
 A key of more than `hot` bytes of contents (a line in very many surroundings) is split: its gram is set aside for the
@@ -36,7 +38,7 @@ from . import bpe, common, scan, suffix
 
 GRAM = 48
 PLACE = 20  # bits of a place in a part of a text; longer texts come in parts, which share out the windows
-SHARD = 1 << 20  # bytes of contents sorted at a time, more only for a single key
+SHARD = 2 << 20  # bytes of contents sieved and sorted at a time, more only for a single key
 IN_MEMORY = 4 << 20  # bytes beyond which a shard's text, queues and results go to the task's disk
 HOT = 64 << 20  # bytes of contents beyond which a key is split
 SPLITS = 3  # rounds of other keys for windows under hot ones
@@ -111,6 +113,23 @@ def segments(data: np.ndarray, off: np.ndarray, length: int, aside: np.ndarray |
     return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5 + [np.zeros(0, bool)]
 
 
+def windows(parts: list[np.ndarray], length: int) -> np.ndarray:
+    """A hash of every window of contents shorter than 2**PLACE, one content after another; equal windows have equal ones."""
+    up, down = powers()
+    out, first = [np.zeros(0, np.uint64)], 0
+    ends = np.cumsum([len(p) for p in parts])
+    while first < len(parts):
+        base = ends[first] - len(parts[first])
+        last = max(first + 1, int(np.searchsorted(ends, base + (1 << PLACE), "left")))
+        data, size = np.concatenate(parts[first:last]), np.array([len(p) for p in parts[first:last]])
+        n = len(data)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(scan.mix(scan.words8(data)[:n].copy()) * up[:n])])
+        i = scan.ragged(np.cumsum(size) - size, np.maximum(size - length + 1, 0))
+        out.append(scan.mix((total[i + length - 7] - total[i]) * down[i]))
+        first = last
+    return np.concatenate(out)
+
+
 class Shard:
     """Contents under some keys, in memory or, if they are many, in a file of the task's scratch folder."""
 
@@ -135,6 +154,24 @@ class Shard:
                 self._text().tofile(f)
             self.parts, self.waiting = [], 0
 
+    def _sieve(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each content in memory the first window, and the end of the last, that may start elsewhere too; both 0 if none may."""
+        size = np.array(self.size, np.int64)
+        many = np.maximum(size - self.length + 1, 0)
+        h = windows(self.parts, self.length)
+        order = np.argsort(h)
+        same = h[order[1:]] == h[order[:-1]]
+        hit = np.zeros(len(h), bool)
+        hit[order[1:][same]] = hit[order[:-1][same]] = True
+        i = np.flatnonzero(hit)
+        which = np.repeat(np.arange(len(size)), many)[i]
+        place = i - (np.cumsum(many) - many)[which]
+        a, b = size.copy(), np.zeros(len(size), np.int64)
+        np.minimum.at(a, which, place)
+        np.maximum.at(b, which, place + self.length)
+        whole = np.frombuffer(bytes(self.whole), np.uint8) > 0
+        return np.where((b == 0) | whole, 0, a), np.where((b > 0) & whole, size, b)
+
     def _text(self) -> np.ndarray:
         """The contents in memory, each ended by a symbol below all bytes."""
         size = np.array([len(p) for p in self.parts], np.int64)
@@ -146,6 +183,18 @@ class Shard:
     def repeated(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Content numbers and the byte ranges in them that windows with a second start cover."""
         length, size = self.length, np.array(self.size, np.int64)
+        whole = np.frombuffer(bytes(self.whole), np.uint8)
+        number, cut = np.arange(len(size)), np.zeros(len(size), np.int64)
+        if not self.scratch:
+            cut, end = self._sieve()
+            # What occurs several times as a whole needs no other content.
+            alone = np.flatnonzero((end == 0) & (whole > 0) & (size >= length))
+            yield alone, np.zeros(len(alone), np.int64), size[alone]
+            number = np.flatnonzero(end)
+            if not len(number):
+                return
+            self.parts = [self.parts[i][cut[i] : end[i]] for i in number.tolist()]
+            size, cut, whole = (end - cut)[number], cut[number], whole[number]
         at = np.cumsum(size + 1) - size - 1
         if self.scratch:
             with open(f"{self.scratch}/text", "ab") as f:
@@ -161,7 +210,6 @@ class Shard:
             hit = np.flatnonzero(np.asarray(value[i : i + suffix.STEP]) >= length) + i  # never the first suffix
             again[order[hit]] = True
             again[order[hit - 1]] = True
-        whole = np.frombuffer(bytes(self.whole), np.uint8)
         first = 0
         while first < len(size):
             last = max(first + 1, int(np.searchsorted(at, at[first] + suffix.STEP)))
@@ -174,7 +222,7 @@ class Shard:
             flag = np.concatenate([[False], (np.cumsum(change[:-1]) > 0) & (np.asarray(again[base : base + n]) | (np.cumsum(sure[:-1]) > 0)), [False]])
             edge = np.flatnonzero(flag[1:] != flag[:-1]) + base
             which = np.searchsorted(at, edge[::2], "right") - 1
-            yield which, edge[::2] - at[which], edge[1::2] - 1 + length - at[which]
+            yield number[which], edge[::2] - at[which] + cut[which], edge[1::2] - 1 + length - at[which] + cut[which]
             first = last
 
     def answer(self) -> Iterator[pa.RecordBatch]:

@@ -584,3 +584,25 @@ def test_neardup_compares_few_pairs_under_one_line(spark, monkeypatch):
     want = _components(sets, 85)
     assert {r.doc_id: r.component_id for r in neardup.classes(df, k=3, percent=85).collect()} == want
     assert sum(compared) < 3 * len(texts)
+
+
+def test_shards_sort_only_what_may_repeat(monkeypatch):
+    """Contents that share a line but no window aren't sorted, and of others no more than what may repeat; whole ones are told without."""
+    rng = np.random.default_rng(13)
+    some = lambda n: rng.integers(97, 123, n).astype(np.uint8)
+    line, twin, alone = some(48), some(250), some(300)
+    contents = [np.concatenate([some(100), line, some(100)]) for _ in range(200)] + [np.concatenate([some(40 + i), twin, some(90)]) for i in range(2)]
+    sizes, sort = [], suffix.suffix_array
+
+    def noted(text, *rest):
+        sizes.append(len(text))
+        return sort(text, *rest)
+
+    monkeypatch.setattr(suffix, "suffix_array", noted)
+    shard = repeats.Shard(200)
+    for i, c in enumerate(contents):
+        shard.add(i // 50, i, False, c)
+    shard.add(9, 900, True, alone)
+    found = [tuple(r.values()) for b in shard.answer() for r in b.to_pylist()]
+    assert sorted(found) == [(4, 200, 40, 290), (4, 201, 41, 291), (9, 900, 0, 300)]
+    assert sizes[0] == 2 * (250 + 1)  # the rest are its recursion
