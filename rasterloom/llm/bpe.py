@@ -13,6 +13,7 @@ column with a result's name is kept and the result takes a trailing underscore.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import json
 import re
@@ -21,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import common, scan
@@ -28,6 +30,7 @@ from . import common, scan
 NONE = np.int32(2**31 - 1)
 PAD = np.int32(1 << 30)
 BUCKETS = np.array([1, 5, 9, 13, 17, 25, 33, 49, 65, 97, 129, 257])  # longer pieces are merged by a heap, in n log n
+PART = 1 << 19  # bytes of text encoded at a time; a longer text is a part of its own
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 L, N, O, S = 0, 1, 2, 3
 
@@ -374,7 +377,7 @@ def _coded(df: DataFrame, text: str, path: str, names: list[str], both: bool) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker(path)
-        for batch, data, off in common.chunks(batches, text):
+        for batch, data, off in common.chunks(batches, text, PART):
             ids, at = bpe.encode(data, off)
             more = [list_of(ids, at)] + ([binary_of(*bpe.decode(ids, at))] if both else [])
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *names])
@@ -408,3 +411,23 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None, decoded: st
 def round_trip(df: DataFrame, text: str = "text", path: str | None = None, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """encode() and decode() in one pass of one worker."""
     return _coded(df, text, path or common.workers_path("byte_bpe_50k.tiktoken"), [common.free_name(df, ids), common.free_name(df, decoded)], True)
+
+
+def digests(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+    """df without its text, with n_tokens, ids_sha256 (of the decimal ids, joined by spaces) and decoded_sha256 of round_trip()'s ids and bytes, which don't leave the worker."""
+    common.ship(df.sparkSession)
+    path = path or common.workers_path("byte_bpe_50k.tiktoken")
+    rest = df.drop(text)
+    kept, names = rest.columns, [common.free_name(rest, c) for c in ("n_tokens", "ids_sha256", "decoded_sha256")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = worker(path)
+        for batch, data, off in common.chunks(batches, text, PART):
+            ids, at = bpe.encode(data, off)
+            joined = pc.binary_join(list_of(ids, at).cast(pa.list_(pa.string())), " ")
+            digest = [pa.array([hashlib.sha256(b).hexdigest() for b in c.cast(pa.binary()).to_pylist()], pa.string()) for c in (joined, binary_of(*bpe.decode(ids, at)))]
+            yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, pa.array(np.diff(at)), *digest], names=[*kept, *names])
+
+    kinds = ["bigint", "string", "string"]
+    schema = ", ".join(filter(None, [common.arrow_schema(rest), *(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True))]))
+    return df.mapInArrow(run, schema)

@@ -12,9 +12,7 @@ from .common import fold, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -606,3 +606,16 @@ def test_shards_sort_only_what_may_repeat(monkeypatch):
     found = [tuple(r.values()) for b in shard.answer() for r in b.to_pylist()]
     assert sorted(found) == [(4, 200, 40, 290), (4, 201, 41, 291), (9, 900, 0, 300)]
     assert sizes[0] == 2 * (250 + 1)  # the rest are its recursion
+
+
+def test_bpe_digests_leave_the_worker_without_ids(spark, odd, empty):
+    """The query's digests are made where the ids are; neither ids nor decoded bytes pass through the JVM."""
+    assert queries.op1_bpe(spark, SF).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert "array" not in queries.op1_bpe(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    rows = spark.createDataFrame([(1, "a b", 5), (2, None, 6), (3, "", None), (None, "é" * 400_000, 7)], "doc_id bigint, text string, n_tokens int")
+    enc = encoding()
+    for r, t in zip(bpe.digests(rows).collect(), rows.collect(), strict=True):
+        ids = enc.encode_ordinary(t.text or "")
+        assert (r["doc_id"], r["n_tokens"], r["n_tokens_"]) == (t.doc_id, t.n_tokens, len(ids))
+        assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and r["decoded_sha256"] == hashlib.sha256((t.text or "").encode()).hexdigest()
+    assert bpe.digests(empty).count() == 0 and bpe.digests(odd).count() == odd.count()
