@@ -95,3 +95,20 @@ def test_one_row_of_every_class_stays(spark):
     left = corpus_pipeline.near_duplicate_stage(spark, nameless, SF)
     after = corpus_pipeline.repeated_text_stage(spark, left, SF).collect()
     assert len(after) == 1 and after[0].text in (x, x + " end")
+
+
+def test_near_duplicate_stage_compares_few_pairs_under_one_line(spark, monkeypatch):
+    """A line that all documents share makes no pairs of all of them; copies still go."""
+    line = "one line that every one of these many short documents holds in common"
+    texts = [f"{line} a{i} b{i} c{i} d{i}" for i in range(300)]
+    texts += [f"{t}  " for t in texts[:10]]  # the same words
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string")
+    compared, confirm = [], corpus_pipeline.neardup.confirm
+
+    def counted(docs, edges, k):
+        compared.append(edges.count())
+        return confirm(docs, edges, k)
+
+    monkeypatch.setattr(corpus_pipeline.neardup, "confirm", counted)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()) == [*range(300)]
+    assert sum(compared) < 3 * len(texts)
