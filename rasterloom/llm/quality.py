@@ -5,8 +5,9 @@ weights, whose inner product with a document's features is its score. A quantile
 documents, the share of bad ones, is the threshold; scores are moved to 0..1 so that the threshold falls on
 `cut`. Features are shape statistics of the whole text, in quantile steps: no words, language or source.
 
-Fitted on a bounded sample (`most` documents a class), each document of it weighted for all that it stands for in
-the quantile and the regression. Defined results: null and empty texts have the score of the
+All labelled documents count. Steps are their quantiles, with a rank error of 1e-4 of them. Groups of about `most`
+documents of either class fit weights of their own, whose mean is taken; the rarer class's documents are in several
+groups. Threshold and slope come from the counts of all their scores on a grid of 65,536 steps. Defined results: null and empty texts have the score of the
 features of no words; equal texts have equal scores; without labels of both kinds every score is 1: no document is held
 to be bad without evidence. Where the classes' scores don't overlap at all, the threshold is the middle of the gap
 between them instead of the quantile at its edge. An empty table gives an empty table. Extra columns pass through; a
@@ -21,10 +22,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from . import common, sample, scan
+from . import bpe, common, sample, scan
 
 STEPS = 16
+GRID = 1 << 16  # steps of scores that are counted
 
 
 def _among(chars: str) -> np.ndarray:
@@ -91,30 +94,94 @@ def pair_slope(w: np.ndarray, good: np.ndarray, bad: np.ndarray) -> np.ndarray:
     return (up - down) / len(good)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 4000, folds: int = 5, held: int = 0, pairs: int = 60_000, rounds: int = 200, cut: float = 0.3) -> Ranking | None:
-    """A ranking from at most about `most` documents of either label outside the held-out fold."""
-    table, y, weight = sample.texts(docs, labels, label, most, folds, held)
-    if len(np.unique(y)) < 2:
-        return None
-    x = np.concatenate([text_features(data, off) for _, data, off in common.chunks(iter(table.combine_chunks().to_batches()), "text")])
-    edges = [np.unique(np.quantile(c, np.linspace(0, 1, STEPS + 1)[1:-1])) for c in x.T]
-    place = np.column_stack([i * STEPS + np.searchsorted(e, c, "left") for i, (e, c) in enumerate(zip(edges, x.T, strict=True))])
-    d, rng = len(edges) * STEPS, np.random.default_rng(5)
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    g, b = place[rng.choice(good, pairs)], place[rng.choice(bad, pairs)]
+def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, y and features x of every labelled document outside the held-out fold."""
+    known = sample.told(labels, label, folds, held, id).where(F.col(id).isNotNull()).select(F.col(id).alias("id"), "y")
+    rows = docs.where(common.fold(id, folds) != held).select(F.col(id).alias("id"), F.col(text).alias("text"))
+    if known.count() <= 1_000_000:  # beyond 8 MB of ids, features of unlabelled documents are dropped after they are made
+        rows = rows.join(F.broadcast(known.select("id")), "id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, off in common.chunks(batches, "text"):
+            x = text_features(data, off)
+            yield pa.RecordBatch.from_arrays([batch.column(0), bpe.list_of(x.ravel(), np.arange(len(x) + 1) * x.shape[1])], names=["id", "x"])
+
+    made = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, x array<double>")
+    return common.written(made.join(known, "id").select("id", "y", "x"), "labelled")
+
+
+def grouped(rows: DataFrame, counts: dict[int, int], group: int) -> DataFrame:
+    """rows with the number g of a group: every row is in one at least, and every group has about `group` rows of each class, or all of a smaller class."""
+    parts = {y: max(1, -(-n // group)) for y, n in counts.items()}
+    own = F.when(F.col("y") == 1, F.lit(parts[1])).otherwise(F.lit(parts[0]))
+    return rows.withColumn("g", F.explode(F.sequence(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("group")), own).cast("int"), F.lit(max(parts.values()) - 1), own)))
+
+
+def _matrix(x: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    x = x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
+    return x.flatten().to_numpy().reshape(len(x), -1)
+
+
+def _places(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    return np.column_stack([i * STEPS + np.searchsorted(e, c, "left") for i, (e, c) in enumerate(zip(edges, x.T, strict=True))])
+
+
+def pair_weights(place: np.ndarray, y: np.ndarray, d: int, pairs: int, rounds: int) -> np.ndarray:
+    """Bradley-Terry weights from pairs in which all good documents take turns, and all bad ones."""
+    rng = np.random.default_rng(5)
+    g, b = (place[np.concatenate([rng.permutation(own) for _ in range(-(-max(pairs, len(y)) // len(own)))])[: max(pairs, len(y))]] for own in (np.flatnonzero(y == 1), np.flatnonzero(y == 0)))
     w, m, v = np.zeros(d), np.zeros(d), np.zeros(d)
     for t in range(1, rounds + 1):
         grad = pair_slope(w, g, b) - 1e-4 * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w += 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    z = w[place].sum(1)
-    # The share of bad documents as it is among all labelled ones: weights undo what the bound on a class takes away.
-    share = weight[bad].sum() / weight.sum()
-    shift = sample.quantile(z, weight, share)
+    return w
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 4000, folds: int = 5, held: int = 0, pairs: int = 60_000, rounds: int = 200, cut: float = 0.3) -> Ranking | None:
+    """A ranking from all labelled documents outside the held-out fold; a group has about `most` of either label."""
+    common.ship(docs.sparkSession)
+    rows = labelled(docs, labels, label, folds, held)
+    counts = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    if len(counts) < 2:
+        common.forget(rows)
+        return None
+    steps = [i / STEPS for i in range(1, STEPS)]
+    width = len(rows.first().x)
+    edges = [np.unique(c) for c in rows.agg(*(F.percentile_approx(F.col("x")[i], steps, 10_000).alias(f"x{i}") for i in range(width))).first()]
+    d = len(edges) * STEPS
+
+    def learn(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        w = pair_weights(_places(_matrix(table.column("x")), edges), table.column("y").to_numpy(), d, pairs, rounds)
+        common.release()
+        return pa.table({"w": bpe.list_of(w, np.array([0, d]))})
+
+    parts = grouped(rows, counts, most).groupBy("g").applyInArrow(learn, "w array<double>")
+    # The mean by component, so the driver sees one row however many groups there are.
+    mean = parts.select(F.posexplode("w").alias("i", "w")).groupBy("i").agg(F.avg("w").alias("w")).collect()
+    w = np.zeros(d)
+    w[[r.i for r in mean]] = [r.w for r in mean]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w[_places(_matrix(batch.column(1)), edges)].sum(1))], names=["y", "z"])
+
+    scored = common.written(rows.select("y", "x").mapInArrow(score, "y int, z double"), "scored")
+    ends = {r.y: r for r in scored.groupBy("y").agg(F.min("z").alias("least"), F.max("z").alias("most")).collect()}
+    low, high = min(r.least for r in ends.values()), max(r.most for r in ends.values())
+    step = (high - low) / GRID or 1.0
+    cells = scored.groupBy("y", F.floor((F.col("z") - low) / step).alias("cell")).count().toArrow()  # at most two rows a step
+    common.forget(scored)
+    common.forget(rows)
+    y, z, many = cells.column("y").to_numpy(), low + (cells.column("cell").to_numpy() + 0.5) * step, cells.column("count").to_numpy().astype(float)
+    shift = sample.quantile(z, many, counts[0] / (counts[0] + counts[1]))
     # Overlapping classes leave the quantile inside the overlap; between separate ones the middle of the gap is safest.
-    if z[bad].max() < z[good].min():
-        shift = float(z[bad].max() + z[good].min()) / 2
-    fitted = sample.logistic(z[:, None], y.astype(float), weight)
+    if ends[0].most < ends[1].least:
+        shift = float(ends[0].most + ends[1].least) / 2
+    fitted = sample.logistic(z[:, None], y.astype(float), many)
+    common.release()
     return Ranking(edges, w, shift, float(max(fitted[0], 0.05)), cut)
 
 

@@ -30,16 +30,21 @@ def stratified(rows: DataFrame, key: str, label: str, most: int, classes: int =
     return some.select(*rows.columns).limit(2 * most * max(1, len(counts)))
 
 
+def told(labels: DataFrame, label: str, folds: int, held: int, id: str = "doc_id") -> DataFrame:
+    """(id, y) of labelled documents outside the held-out fold. A twice-labelled id takes the larger label."""
+    return labels.where(common.fold(id, folds) != held).groupBy(id).agg(F.max(label).cast("int").alias("y")).where(F.col("y").isin(0, 1))
+
+
 def texts(docs: DataFrame, labels: DataFrame, label: str, most: int, folds: int, held: int, id: str = "doc_id", text: str = "text") -> tuple[pa.Table, np.ndarray, np.ndarray]:
     """Texts, 0/1 labels and weights of a bounded sample of labelled documents outside the held-out fold. A twice-labelled id takes the larger label.
 
     A weight is the number of labelled documents that one of the sample stands for: its class's count over the sampled ones.
     """
-    told = labels.where(common.fold(id, folds) != held).groupBy(id).agg(F.max(label).cast("int").alias("y")).where(F.col("y").isin(0, 1))
-    ids = stratified(told, id, "y", most).select(F.col(id).alias("id"), "y").toArrow()  # at most 4 * most rows
+    known = told(labels, label, folds, held, id)
+    ids = stratified(known, id, "y", most).select(F.col(id).alias("id"), "y").toArrow()  # at most 4 * most rows
     if not ids.num_rows:
         return pa.table({"text": pa.array([], pa.string())}), np.zeros(0, np.int64), np.zeros(0)
-    counts = {r.y: r["count"] for r in told.where(F.col(id).isNotNull()).groupBy("y").count().collect()}
+    counts = {r.y: r["count"] for r in known.where(F.col(id).isNotNull()).groupBy("y").count().collect()}
     sampled = np.bincount(ids.column("y").to_numpy(), minlength=2)
     small = docs.sparkSession.createDataFrame(ids)
     found = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(small), "id")

@@ -619,3 +619,20 @@ def test_bpe_digests_leave_the_worker_without_ids(spark, odd, empty):
         assert (r["doc_id"], r["n_tokens"], r["n_tokens_"]) == (t.doc_id, t.n_tokens, len(ids))
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and r["decoded_sha256"] == hashlib.sha256((t.text or "").encode()).hexdigest()
     assert bpe.digests(empty).count() == 0 and bpe.digests(odd).count() == odd.count()
+
+
+def test_quality_learns_from_every_labelled_document(spark):
+    """Each is in a group, groups stay bounded, and the threshold is the quantile of all their scores."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    # Labels that overlap: every seventh is turned round.
+    labels = labels.withColumn("quality", F.when(F.col("doc_id") % 7 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    rows = quality.labelled(docs, labels, "quality", 5, 0)
+    want = {r.doc_id for r in docs.join(sample.told(labels, "quality", 5, 0), "doc_id").collect()}
+    assert {r.id for r in rows.collect()} == want
+    counts = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    parts = quality.grouped(rows, counts, 20).groupBy("g").agg(F.count("*").alias("n"), F.collect_set("id").alias("ids"), F.min("y").alias("x"), F.max("y").alias("y")).collect()
+    assert set().union(*(r.ids for r in parts)) == want and max(r.n for r in parts) < 100 and all((r.x, r.y) == (0, 1) for r in parts)
+    found = quality.fit(docs, labels, most=50, pairs=2000, rounds=50)
+    z = found.raw(np.array([r.x for r in rows.collect()]))
+    assert abs(found.shift - np.quantile(z, counts[0] / len(z))) < 0.02 * np.ptp(z)
