@@ -8,11 +8,11 @@ order is by rarity among small sets, so a line that very many of them share make
 
 Documents of equal sets form a class first; only its smallest id goes on. Buckets give star-shaped candidate edges:
 the smallest member is the hub, each other member is compared with it, so a bucket of m gives m - 1 pairs. That
-alone could miss a link between two members that differ from the hub. So the members of buckets that don't end up in
-one component are joined by prefixes of their whole sets, rarest shingles first; shingles that only one component has
-come before all others, since links inside a component are not wanted any more. Where the first shared shingle leaves
-too few behind it in either set, the two can't link, so few pairs are left. All links are confirmed on full sets.
-Components come from min-label propagation with pointer jumping.
+alone could miss a link between two members that differ from the hub. So where the others of a bucket don't end up in
+one component (a bucket of two has only one other), they are joined by prefixes of their whole sets, rarest shingles
+first; shingles that only one component has come before all others, since links inside a component are not wanted any
+more. Where the first shared shingle leaves too few behind it in either set, the two can't link, so few pairs are
+left. All links are confirmed on full sets. Components come from min-label propagation with pointer jumping.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing; rows
 that share an id count as one document; ties go to the smaller id; an empty table gives an empty table.
@@ -165,6 +165,8 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of sets of different components, in prefixes' rows, that may link."""
     t = 100 + percent
     # What lies behind the first shared shingle holds the intersection, so the smaller set has that shingle early.
+    # Few rows make many pairs where many sets share a shingle, so their number of tasks is fixed, not merged by bytes.
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h")
     x = rows.where((F.col("n") - F.col("at")) * t >= F.col("n") * 2 * percent).select("h", *(F.col(c).alias(f"x{c}") for c in ("cid", "n", "comp", "at")))
     need = (F.col("xn") + F.col("n")) * percent
     may = (F.col("xcomp") != F.col("comp")) & (F.struct("xn", "xcid") < F.struct("n", "cid")) & _fits(F.col("xn"), F.col("n"), percent)
@@ -237,16 +239,15 @@ def classes(df: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, p
     # Buckets of two members at least, and their hubs.
     rare = prefixes(sets.select("cid", "n", F.col("cid").alias("comp"), F.explode("small").alias("h")), percent)
     place = sets.select(F.explode("keys").alias("key"), "cid", "n").union(rare.select(F.xxhash64("h").alias("key"), "cid", "n"))
-    place = common.written(place, "place")
-    shared = place.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", F.col("hub.cid").alias("hub"), F.col("hub.n").alias("hub_n"))
-    member = common.written(place.join(shared, "key"), "buckets")
-    common.forget(place)
+    same = Window.partitionBy("key")
+    met = place.select("*", F.min(F.struct("cid", "n")).over(same).alias("hub"), F.count("*").over(same).alias("m")).where("m > 1")
+    member = common.written(met.select("key", "cid", "n", F.col("hub.cid").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
     star = member.where("cid != hub").where(_fits(F.col("n"), F.col("hub_n"), percent)).select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
     told = common.written(confirm(docs, common.written(star, "star"), k), "told")
     link = F.col("inter") * 100 >= F.col("both") * percent
     comp = components(told.where(link))
-    # Buckets whose members aren't all in one component by now.
-    at = member.join(comp, member.cid == comp.id, "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
+    # All were compared with their hub, so only buckets whose others aren't in one component by now hold pairs to compare.
+    at = member.where("cid != hub").join(comp, F.col("cid") == F.col("id"), "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
     open_ = at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
     left = common.written(at.join(open_, "key", "left_semi").select("cid", "comp").distinct(), "open")
     pairs = common.written(candidates(common.written(prefixes(tokens(docs, left, k), percent), "prefixes"), percent), "rest")

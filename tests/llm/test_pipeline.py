@@ -112,3 +112,32 @@ def test_near_duplicate_stage_compares_few_pairs_under_one_line(spark, monkeypat
     monkeypatch.setattr(corpus_pipeline.neardup, "confirm", counted)
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()) == [*range(300)]
     assert sum(compared) < 3 * len(texts)
+
+
+def test_near_duplicate_stage_settles_pairs_by_their_hub(spark, monkeypatch):
+    """Buckets of two texts that don't link are settled by the one comparison; their whole sets aren't joined again."""
+    rng = np.random.default_rng(17)
+    texts = []
+    for _ in range(60):
+        w = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+        texts.append(" ".join(w))
+        for j in rng.choice(200, 10, replace=False):
+            w[j] = "other"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string")
+    again, compared, tokens, confirm = [], [], corpus_pipeline.neardup.tokens, corpus_pipeline.neardup.confirm
+
+    def counted(docs, wanted, k):
+        again.append(wanted.count())
+        return tokens(docs, wanted, k)
+
+    def noted(docs, edges, k):
+        compared.append(edges.count())
+        return confirm(docs, edges, k)
+
+    monkeypatch.setattr(corpus_pipeline.neardup, "tokens", counted)
+    monkeypatch.setattr(corpus_pipeline.neardup, "confirm", noted)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    want = {i for i, s in enumerate(sets) if not (i % 2 and 10 * len(s & sets[i - 1]) >= 8 * len(s | sets[i - 1]))}
+    assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()} == want
+    assert compared[0] > 40 and sum(again) == 0
