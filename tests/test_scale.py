@@ -1,9 +1,17 @@
 """What a task holds and does grows no faster than its images; results are those of plain loops."""
 
+import os
+import time
+import tracemalloc
+
 import numpy as np
 import pytest
+from pyspark.sql.functions import spark_partition_id
 
-from rasterloom.operators import images
+from rasterloom import scenes
+from rasterloom.kernels import dense, detect, features, lines, photo, shapes
+from rasterloom.operators import images, px
+from rasterloom.operators.groups import by_key
 
 
 def _rows(spark, n, h=64, w=64):
@@ -25,3 +33,46 @@ def test_rows_are_handed_on_in_parts(spark, monkeypatch):
     monkeypatch.setattr(images, "_cast", lambda batches, schema: (images.pa.RecordBatch.from_pydict({"img_id": images.pa.array([b.num_rows], images.pa.int64()), "idx": images.pa.array([0], images.pa.int32()), "x": images.pa.array([0.0])}) for b in batches))
     sizes = [r.img_id for r in images.rows(_rows(spark, 40), lambda a: [(float(v),) for v in a.ravel()], "x double", ["x"]).collect()]
     assert sum(sizes) == 40 * 64 * 64 and max(sizes) <= images.ROWS
+
+
+def _text(h, seed=0):
+    """A page of h lines whose characters look like text: few strong edges, many weak ones."""
+    return np.random.default_rng(seed).choice(np.frombuffer(b" <>/=\"aeiounrstldmp0123.\0", np.uint8), (h, 64))
+
+
+def _took(f):
+    t = time.process_time()
+    out = f()
+    return out, time.process_time() - t
+
+
+def _spans(limit):
+    """Seconds, for a machine that is as slow as this one is just now: limit for one that counts to 50,000 in a millisecond."""
+    return limit * max(1.0, 1e3 * min(_took(lambda: sum(range(50_000)))[1] for _ in range(5)))
+
+
+def plain_bilateral(a, space, colour):
+    r, v = int(np.ceil(3 * space)), a.astype(float)
+    p = np.pad(v, r, constant_values=np.nan)
+    total, norm = np.zeros_like(v), np.zeros_like(v)
+    for dy in range(-r, r + 1):
+        for dx in range(-r, r + 1):
+            t = p[r + dy : r + dy + v.shape[0], r + dx : r + dx + v.shape[1]]
+            wt = np.nan_to_num(np.exp(-(dx * dx + dy * dy) / (2 * space**2)) * np.exp(-((t - v) ** 2) / (2 * colour**2)))
+            total, norm = total + np.nan_to_num(t) * wt, norm + wt
+    return dense.round8(total / norm)
+
+
+def test_bilateral_smoothing_takes_its_weights_from_tables():
+    a = _text(150)
+    new, took = _took(lambda: features.smooth_bilateral(a, 1.5, 20.0))
+    old, plain = _took(lambda: plain_bilateral(a, 1.5, 20.0))
+    assert (new == old).all() and took < plain / 1.5
+
+
+def test_good_features_are_far_from_each_other():
+    a = _text(2000)
+    (points, took) = _took(lambda: features.good_features_to_track(a, 10**6, min_distance=3.0))
+    p = np.array([q.pt for q in points])
+    assert len(p) > 1000 and took < _spans(0.25)
+    assert all((((p[:i] - p[i]) ** 2).sum(1) >= 9).all() for i in range(1, 200))
