@@ -70,6 +70,15 @@ def test_bilateral_smoothing_takes_its_weights_from_tables():
     assert (new == old).all() and took < plain / 1.5
 
 
+def test_segments_are_grown_from_their_pixels_alone():
+    a = _text(800)
+    got, took = _took(lambda: lines.line_segment_detector(a))
+    assert got and took < _spans(2)
+    ramp = np.add.outer(np.arange(20) * 6, np.zeros(64)).astype(np.uint8)
+    x1, y1, x2, y2, _ = lines.line_segment_detector(ramp)[0]
+    assert sorted((x1, x2)) == pytest.approx([1, 62], abs=1.5) and y1 == pytest.approx(y2, abs=1e-6)
+
+
 def test_good_features_are_far_from_each_other():
     a = _text(2000)
     (points, took) = _took(lambda: features.good_features_to_track(a, 10**6, min_distance=3.0))
