@@ -79,6 +79,30 @@ def test_segments_are_grown_from_their_pixels_alone():
     assert sorted((x1, x2)) == pytest.approx([1, 62], abs=1.5) and y1 == pytest.approx(y2, abs=1e-6)
 
 
+def test_rectangles_are_grouped_without_a_square_of_them():
+    r = np.array([(x, y, 8, 8) for y in range(0, 300, 2) for x in range(0, 56, 2)])
+    tracemalloc.start()
+    groups = detect._overlap_groups(r, 0.2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6 and (groups == np.arange(len(r))).all()  # two apart, 1.6 are near
+
+
+@pytest.mark.parametrize("eps", [0.05, 0.2, 0.9])
+def test_rectangle_groups_are_those_of_all_pairs(eps, monkeypatch):
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 40, 90):
+        r = np.column_stack([rng.integers(-9, 50, n), rng.integers(0, 50, n), rng.integers(1, 25, n), rng.integers(1, 25, n)]).astype(float)
+        delta = eps * (np.minimum.outer(r[:, 2], r[:, 2]) + np.minimum.outer(r[:, 3], r[:, 3])) / 2
+        near = np.all([np.abs(np.subtract.outer(v, v)) <= delta for v in (r[:, 0], r[:, 1], r[:, 0] + r[:, 2], r[:, 1] + r[:, 3])], 0)
+        want = np.arange(n)
+        for _ in range(n):
+            want = np.where(near, want[None], n).min(1)
+        for most in (3, 1 << 18):
+            monkeypatch.setattr(detect, "PAIRS", most)
+            assert (detect._overlap_groups(r, eps) == want).all()
+
+
 def test_good_features_are_far_from_each_other():
     a = _text(2000)
     (points, took) = _took(lambda: features.good_features_to_track(a, 10**6, min_distance=3.0))
