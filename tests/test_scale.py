@@ -103,6 +103,20 @@ def test_rectangle_groups_are_those_of_all_pairs(eps, monkeypatch):
             assert (detect._overlap_groups(r, eps) == want).all()
 
 
+def test_scenes_are_solved_once(spark):
+    drawn = scenes.solved(lambda a, b, c: np.random.default_rng().random((1, 1)), 9)
+    tables = "/root/testdata/sf0.1"
+    got = drawn(spark, tables).join(scenes.scenes(spark, tables), "img_id")
+    n, kinds, values = got.selectExpr("count(*)", "count(distinct a, b, c)", "count(distinct v)").first()
+    assert n == 1000 and values == kinds < n
+
+
+def test_small_rows_are_worked_on_by_many_tasks(spark):
+    df = spark.range(1000).selectExpr("id k", "0 i", "id v")
+    parts = by_key(df, "k", "i", ["v"], lambda p: [(os.getpid(),)], "pid bigint", ["pid"]).select(spark_partition_id()).distinct().count()
+    assert parts >= 4
+
+
 def test_good_features_are_far_from_each_other():
     a = _text(2000)
     (points, took) = _took(lambda: features.good_features_to_track(a, 10**6, min_distance=3.0))
