@@ -117,6 +117,37 @@ def test_small_rows_are_worked_on_by_many_tasks(spark):
     assert parts >= 4
 
 
+def test_matches_and_keypoints_are_drawn_all_at_once():
+    a, b = _text(60), _text(40, 1)
+    p, q = features.fast_detect(a), features.fast_detect(b)
+    matches = [features.DMatch(i, j, 0.0) for i, j in zip(range(0, len(p), 2), range(len(q) - 1, 0, -3), strict=False)]
+    c = shapes.Canvas(np.zeros((60, 128, 3), np.uint8), (0, 255, 0))
+    c.out[:, :64], c.out[:40, 64:] = a[..., None], b[..., None]
+    for m in matches:
+        s, t = p[m.query_idx], q[m.train_idx]
+        c.line((s.x, s.y), (t.x + 64, t.y))
+        for x, y in ((s.x, s.y), (t.x + 64, t.y)):
+            shapes._circle_on(c, int(x), int(y), 3, 1)
+    c.colour[:] = (255, 0, 0)
+    for points, used, dx in ((p, {m.query_idx for m in matches}, 0), (q, {m.train_idx for m in matches}, 64)):
+        for i, s in enumerate(points):
+            if i not in used:
+                shapes._circle_on(c, int(s.x) + dx, int(s.y), 3, 1)
+    assert (features.drawMatches(a, p, b, q, matches) == c.out).all()
+    p = features.fast_detect(a := _text(400), 5)
+    c = shapes.Canvas(np.repeat(a[..., None], 3, 2), 0)
+
+    def plain():
+        for s in p:
+            c.colour[:] = [int(s.x * u + s.y * v) % 256 for u, v in ((456.123, 789.789), (789.123, 123.789), (123.456, 456.789))]
+            shapes._circle_on(c, int(s.x), int(s.y), 3, 1)
+
+    (got, took), (_, slow) = _took(lambda: features.drawKeypoints(a, p)), _took(plain)
+    assert (got == c.out).all() and took < slow / 3
+    took = _took(lambda: features.drawMatches(a, p, a, p, [features.DMatch(i, i, 0.0) for i in range(len(p))]))[1]
+    assert took < slow
+
+
 def test_good_features_are_far_from_each_other():
     a = _text(2000)
     (points, took) = _took(lambda: features.good_features_to_track(a, 10**6, min_distance=3.0))
