@@ -148,6 +148,41 @@ def test_matches_and_keypoints_are_drawn_all_at_once():
     assert took < slow
 
 
+BLOCKS = np.kron(np.random.default_rng(2).integers(0, 256, (800, 9)), np.ones((6, 7))).astype(np.uint8)
+
+
+def test_blobs_are_found_in_one_sort():
+    blobs, took = _took(lambda: features.simple_blob_detect(BLOCKS, threshold_step=40.0))
+    assert blobs and took < _spans(0.8)
+
+
+def plain_label(mask, moves):
+    out, n = np.zeros(mask.shape, int), 0
+    for y, x in np.argwhere(mask):
+        if not out[y, x]:
+            n, todo = n + 1, [(y, x)]
+            while todo:
+                v, u = todo.pop()
+                if 0 <= v < mask.shape[0] and 0 <= u < mask.shape[1] and mask[v, u] and not out[v, u]:
+                    out[v, u] = n
+                    todo += [(v + dy, u + dx) for dy, dx in moves]
+    return out
+
+
+def test_labels_are_those_of_a_plain_fill():
+    rng = np.random.default_rng(3)
+    eight = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+    for shape in ((1, 1), (1, 9), (9, 1), (30, 20)):
+        for share in (0.2, 0.5, 0.8):
+            m = rng.random(shape) < share
+            assert (shapes.label(m, 4) == plain_label(m, shapes.FOUR)).all() and (shapes.label(m, 8) == plain_label(m, eight)).all()
+    snake = np.zeros((600, 64), bool)
+    snake[::2] = True
+    snake[1::4, -1] = snake[3::4, 0] = True
+    (lab, took) = _took(lambda: shapes.label(snake, 4))
+    assert lab.max() == 1 and took < _spans(0.008)
+
+
 def test_good_features_are_far_from_each_other():
     a = _text(2000)
     (points, took) = _took(lambda: features.good_features_to_track(a, 10**6, min_distance=3.0))
