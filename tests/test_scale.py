@@ -156,6 +156,13 @@ def test_blobs_are_found_in_one_sort():
     assert blobs and took < _spans(0.8)
 
 
+def test_regions_are_found_in_one_sort():
+    regions, took = _took(lambda: features.mser_detect(BLOCKS, 32, 30))
+    assert regions and took < _spans(0.8)
+    for r in regions[:5]:
+        assert len(set(r)) == len(r) and all(any(abs(x - u) + abs(y - v) == 1 for u, v in r[:i]) for i, (x, y) in enumerate(r) if i)
+
+
 def plain_label(mask, moves):
     out, n = np.zeros(mask.shape, int), 0
     for y, x in np.argwhere(mask):
