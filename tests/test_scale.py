@@ -190,6 +190,27 @@ def test_labels_are_those_of_a_plain_fill():
     assert lab.max() == 1 and took < _spans(0.008)
 
 
+def plain_fast(image, threshold):
+    a, out = image.astype(int), {}
+    for y in range(3, a.shape[0] - 3):
+        for x in range(3, a.shape[1] - 3):
+            for s in (1, -1):
+                d = [s * (int(a[y + dy, x + dx]) - int(a[y, x])) - threshold for dy, dx in features.CIRCLE] * 2
+                run = total = 0
+                for e in d:
+                    run, total = (run + 1, total + e) if e > 0 else (0, 0)
+                    if run >= 9:
+                        out[x, y] = max(out.get((x, y), 0), total)
+    return out
+
+
+def test_corners_are_those_of_a_plain_loop():
+    a = np.kron(np.random.default_rng(4).integers(0, 256, (9, 8)), np.ones((5, 6))).astype(np.uint8)
+    a[20:23, 20:23], a[30, 30] = 255, 0
+    assert {(p.x, p.y): p.response for p in features.fast_detect(a, 20, False)} == plain_fast(a, 20)
+    assert _took(lambda: features.fast_detect(_text(1500)))[1] < _spans(0.04)
+
+
 def test_good_features_are_far_from_each_other():
     a = _text(2000)
     (points, took) = _took(lambda: features.good_features_to_track(a, 10**6, min_distance=3.0))
