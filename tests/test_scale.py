@@ -211,6 +211,16 @@ def test_corners_are_those_of_a_plain_loop():
     assert _took(lambda: features.fast_detect(_text(1500)))[1] < _spans(0.04)
 
 
+def test_keypoints_are_described_many_at_once(monkeypatch):
+    a, calls = _text(400), []
+    kept = features._bits
+    monkeypatch.setattr(features, "_bits", lambda flags: calls.append(1) or kept(flags))
+    for f in (features.orb_detect_and_compute, features.brisk_detect_and_compute, features.akaze_detect_and_compute):
+        calls.clear()
+        points, rows = f(a)
+        assert len(points) == len(rows) > 200 and len(calls) < len(points) / 10
+
+
 def test_good_features_are_far_from_each_other():
     a = _text(2000)
     (points, took) = _took(lambda: features.good_features_to_track(a, 10**6, min_distance=3.0))
