@@ -227,3 +227,39 @@ def test_good_features_are_far_from_each_other():
     p = np.array([q.pt for q in points])
     assert len(p) > 1000 and took < _spans(0.25)
     assert all((((p[:i] - p[i]) ** 2).sum(1) >= 9).all() for i in range(1, 200))
+
+
+def plain_segments(image, threshold, least, gap):
+    a = image > 0
+    thetas = np.radians(np.arange(180.0))
+    votes, top = dense.hough_votes(a, thetas)
+    spent, out = np.zeros_like(a), []
+    for r, t in zip(*np.nonzero(votes >= threshold), strict=True):
+        c, s, d = np.cos(thetas[t]), np.sin(thetas[t]), float(r - top)
+        u = np.arange(a.shape[1] if abs(s) > abs(c) else a.shape[0])
+        v = dense.half_away((d - u * (c if abs(s) > abs(c) else s)) / (s if abs(s) > abs(c) else c)).astype(int)
+        x, y = (u, v) if abs(s) > abs(c) else (v, u)
+        p = np.array([(i, j) for i, j in zip(x, y, strict=True) if 0 <= i < a.shape[1] and 0 <= j < a.shape[0] and a[j, i] and not spent[j, i]]).reshape(-1, 2)
+        for part in np.split(p, np.flatnonzero(np.hypot(*np.diff(p, axis=0).T) > gap) + 1) if len(p) > 1 else []:
+            if np.hypot(*(part[0] - part[-1])) >= least:
+                out.append((*map(int, part[0]), *map(int, part[-1])))
+                spent[part[:, 1], part[:, 0]] = True
+    return out
+
+
+def test_hough_segments_are_those_of_a_plain_loop():
+    a = (np.random.default_rng(6).random((60, 40)) < 0.15).astype(np.uint8) * 255
+    got = lines.hough_lines_p(a, threshold=8, min_line_length=10.0, max_line_gap=4.0)
+    assert got == plain_segments(a, 8, 10.0, 4.0) and got
+    assert _took(lambda: lines.hough_lines_p(np.tile(a, (10, 1)), threshold=8, min_line_length=10.0, max_line_gap=4.0))[1] < _spans(1)
+
+
+def test_votes_are_counted_in_parts():
+    a = np.full((400, 64), 255, np.uint8)
+    tracemalloc.start()
+    votes, top = dense.hough_votes(a, np.radians(np.arange(180.0)))
+    circles = dense.hough_circles(a, 5, 360)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert votes[:, 0].sum() == a.size and (votes[top : top + 64, 0] == 400).all() and peak < 60e6
+    assert {(x, y) for x, y, _ in circles} == {(x, y) for x in range(5, 59) for y in range(5, 395)}
