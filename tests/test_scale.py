@@ -263,3 +263,10 @@ def test_votes_are_counted_in_parts():
     tracemalloc.stop()
     assert votes[:, 0].sum() == a.size and (votes[top : top + 64, 0] == 400).all() and peak < 60e6
     assert {(x, y) for x, y, _ in circles} == {(x, y) for x in range(5, 59) for y in range(5, 395)}
+
+
+def test_denoising_takes_stacks():
+    a = np.random.default_rng(7).integers(0, 256, (6, 8, 8, 3)).astype(np.uint8)
+    grey, colour = photo.fastNlMeansDenoising.stack(a[..., :1], 10.0, 3, 9), photo.fastNlMeansDenoisingColored.stack(a, 10.0, 10.0, 3, 9)
+    for i in range(6):
+        assert (photo.fastNlMeansDenoising(a[i, ..., 0], 10.0, 3, 9) == grey[i, ..., 0]).all() and (photo.fastNlMeansDenoisingColored(a[i], 10.0, 10.0, 3, 9) == colour[i]).all()
