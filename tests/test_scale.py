@@ -270,3 +270,17 @@ def test_denoising_takes_stacks():
     grey, colour = photo.fastNlMeansDenoising.stack(a[..., :1], 10.0, 3, 9), photo.fastNlMeansDenoisingColored.stack(a, 10.0, 10.0, 3, 9)
     for i in range(6):
         assert (photo.fastNlMeansDenoising(a[i, ..., 0], 10.0, 3, 9) == grey[i, ..., 0]).all() and (photo.fastNlMeansDenoisingColored(a[i], 10.0, 10.0, 3, 9) == colour[i]).all()
+
+
+def test_nearest_rows_are_looked_for_by_products():
+    rng = np.random.default_rng(8)
+    for scale, shift in ((1, 0), (0.1, 0), (1, 1e8), (1e200, 0)):
+        q, t = (rng.integers(0, 3, (n, 4)) * scale + shift for n in (20, 90))
+        d = np.sqrt(sum((a[:, None] - b) ** 2 for a, b in zip(q.T, t.T, strict=True)))
+        for k in (1, 3):
+            at, to = px._candidates(q, t, k, "L2")
+            e = px._exact(q[at], t[to], "L2")
+            for i in range(20):
+                best = np.lexsort((to[at == i], e[at == i]))[:k]
+                assert (to[at == i][best] == np.lexsort((np.arange(90), d[i]))[:k]).all() and (e[at == i][best] == np.sort(d[i])[:k]).all()
+    assert len(px._candidates(rng.normal(size=(50, 16)), rng.normal(size=(2000, 16)), 3, "L2")[0]) < 200
