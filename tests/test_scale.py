@@ -12,6 +12,7 @@ from rasterloom import scenes
 from rasterloom.kernels import dense, detect, features, lines, photo, shapes
 from rasterloom.operators import images, px
 from rasterloom.operators.groups import by_key
+from rasterloom.sources import codecs, spark_images
 
 
 def _rows(spark, n, h=64, w=64):
@@ -284,3 +285,10 @@ def test_nearest_rows_are_looked_for_by_products():
                 best = np.lexsort((to[at == i], e[at == i]))[:k]
                 assert (to[at == i][best] == np.lexsort((np.arange(90), d[i]))[:k]).all() and (e[at == i][best] == np.sort(d[i])[:k]).all()
     assert len(px._candidates(rng.normal(size=(50, 16)), rng.normal(size=(2000, 16)), 3, "L2")[0]) < 200
+
+
+def test_small_image_files_share_a_task(spark, tmp_path):
+    for i in range(600):
+        (tmp_path / f"{i}.png").write_bytes(codecs.encode_png(np.full((2, 3), i % 256, np.uint8)))
+    got = spark_images.read(spark, str(tmp_path), -1)
+    assert got.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and sorted(r.data[0] for r in got.collect()) == sorted(i % 256 for i in range(600))
